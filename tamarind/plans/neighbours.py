@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -44,17 +45,15 @@ def with_previous(df: DataFrame, group: str, order: str, carry: list[str]) -> Da
                 continue
             groups = b.column(group)
             same_first = held is not None and groups[0].as_py() == g0
-            equal = [same_first, *(pa.compute.equal(groups.slice(1), groups.slice(0, len(groups) - 1)).to_pylist() if len(groups) > 1 else [])]
+            equal = [same_first, *(pc.equal(groups.slice(1), groups.slice(0, len(groups) - 1)).to_pylist() if len(groups) > 1 else [])]
             mask = pa.array([not bool(e) for e in equal])
             cols = []
             for k, c in enumerate(carry):
                 col = b.column(c)
                 first = pa.array([held[k] if held is not None else None], col.type)
                 shifted = pa.concat_arrays([first, col.slice(0, len(col) - 1)])
-                cols.append(pa.compute.if_else(mask, pa.scalar(None, col.type), shifted))
+                cols.append(pc.if_else(mask, pa.scalar(None, col.type), shifted))
             g0, held = groups[-1].as_py(), [b.column(c)[-1].as_py() for c in carry]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *[f"prev_{c}" for c in carry]])
 
-    import pyarrow.compute  # noqa: F401
-
     return ordered.mapInArrow(shift, out_schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarind.llm import canonical, overlap, packing, quantiles
+from tamarind.llm import canonical, leakage, overlap, packing, quantiles
 from tamarind.plans.skew import once
 
 PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -99,5 +99,17 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_packed(spark, d), CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_coverage, p3_percentiles, p3_percentiles_from_days, p3_rank_check, p3_counts, p5_found, p5_canonical, p8_packed, p8_fill)}
+def _leaks(spark: SparkSession, d: str, paraphrases: bool) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_item"), "item_id", "text", paraphrases)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d, False).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d, True)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_coverage, p3_percentiles, p3_percentiles_from_days, p3_rank_check, p3_counts, p5_found, p5_canonical, p8_packed, p8_fill, p9_found, p9_leaks)}
 ORACLE = {"p3_rank_check": P3_RANK_SQL, "p3_counts": P3_COUNTS_SQL}

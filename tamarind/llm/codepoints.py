@@ -419,3 +419,15 @@ def word_strings(cps: np.ndarray, off: np.ndarray) -> list[list[str]]:
     """The folded words of each row as strings, for small inputs such as evaluation items."""
     f, foff, _ = fold(cps, off)
     return [s.split() for s in to_arrow(f, foff).to_pylist()]
+
+
+def fold_shape(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, offsets, source place): without disguises and accents, but with case and all visible signs."""
+    t = tables()
+    stay = ~hidden(cps, off)
+    src = np.flatnonzero(stay)
+    off, c = keep(stay, off, cps)
+    b = read_as_latin(mapped(t.base, mapped(t.plain, c)), off)
+    b = np.where(b == ord("đ"), np.uint32(ord("d")), np.where(b == ord("Đ"), np.uint32(ord("D")), b))
+    off, b, src = keep(~get(t.mark, b, False).astype(bool), off, b, src)
+    return b, off, src

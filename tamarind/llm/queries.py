@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarind.llm import canonical, leakage, overlap, packing, quantiles
+from tamarind.llm import canonical, leakage, overlap, packing, personal, quantiles
 from tamarind.plans.skew import once
 
 PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -111,5 +111,18 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d, True)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_coverage, p3_percentiles, p3_percentiles_from_days, p3_rank_check, p3_counts, p5_found, p5_canonical, p8_packed, p8_fill, p9_found, p9_leaks)}
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    names = personal.known_names((table(spark, d, "employee"), "employee_name"), (table(spark, d, "bank_customer"), "customer_name"))
+    return personal.occurrences(table(spark, d, "documents"), "doc_id", "text", names)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("doc_id", "kind", "start_pos").distinct()
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return personal.masked(table(spark, d, "documents"), "doc_id", "text", _personal(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_coverage, p3_percentiles, p3_percentiles_from_days, p3_rank_check, p3_counts, p5_found, p5_canonical, p8_packed, p8_fill, p9_found, p9_leaks, p10_found, p10_masked)}
 ORACLE = {"p3_rank_check": P3_RANK_SQL, "p3_counts": P3_COUNTS_SQL}

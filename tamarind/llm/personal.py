@@ -28,8 +28,10 @@ MOST_NAME_WORDS = 200_000
 #: A word of a known name counts from so many names on.
 LEAST_NAMES = 2
 ROUNDS, TRUST = 4, 0.3
+#: What a context's score starts from, and with what weight: little evidence leaves it there.
+PRIOR, PRIOR_WEIGHT = 0.4, 1.0
 #: A candidate without a label of its own is taken from this score on; a seed is dropped below LEAST_SEED.
-LEAST, LEAST_SEED = 0.6, 0.25
+LEAST, LEAST_SEED = 0.7, 0.25
 
 # Words that say what follows, in folded form.
 TITLES = frozenset("ong ba anh chi em co chu bac cau di ngai mr ms mrs miss dr".split())
@@ -37,7 +39,7 @@ _TITLE_FORMS = frozenset("ông bà anh chị em cô chú bác cậu dì ngài mr
 PHONE_WORDS = frozenset("sdt dt phone tel mobile zalo alo dien thoai goi call so nhan lai so".split())
 ID_WORDS = frozenset("cccd cmnd can cuoc dinh danh passport chieu id".split())
 OTHER_NUMBER_WORDS = frozenset("stk khoan account statement job ghi record lo soat batch gd giao dich transaction ma phieu ticket mau form don emp nv hotline dai txn ref".split())
-PLACE_WORDS = frozenset("duong pho ngo ngach hem kiet nhanh dich quay phuong quan huyen xa tinh thon ap cho cau street road lane branch goi the vi dung kiem vu khoan hiem vay luong luu dong tuyen phong khoi ban to".split())
+PLACE_WORDS = frozenset("duong pho ngo ngach hem kiet nhanh dich quay phuong quan huyen xa tinh thon ap cho cau street road lane branch goi the vi dung kiem vu khoan hiem vay luong luu dong tuyen phong khoi ban".split())
 INNER_PLACE = frozenset("ngo ngach hem kiet duong phuong quan tang phong ward district room rooms lo version".split())
 STREET_CUES = r"(?:[Dd]uong|DUONG|[Pp]ho|PHO|[Nn]go|NGO|[Nn]gach|[Hh]em|[Kk]iet|[Dd]\.|[Dd]ai lo|[Qq]uoc lo)"
 UNIT = r"(?:[Pp]huong|[Qq]uan|[Tt]hanh pho|[Hh]uyen|[Tt]inh|[Xx]a|[Tt]hi xa|[Tt]hi tran|TP|[PFQTHX]|[Ww]ard|[Dd]istrict|[Cc]ity of)"
@@ -61,10 +63,11 @@ EMAIL = re.compile(
     rf"| +at +{_LABEL}(?:{_SPELT_DOT}{_LABEL})+)",
     re.IGNORECASE,
 )
-WORD = re.compile(r"(?<!\w)[A-Za-z][A-Za-z'’]*(?:-[A-Z][A-Za-z]+)*(?!\w)")
+WORD = re.compile(r"(?<!\w)[A-Za-z]+(?:['’][A-Za-z]+)*(?:-[A-Z][A-Za-z]+)*(?!\w)")
 TOKEN = re.compile(r"[A-Za-z]+|\d[\d.,/:]*|[^\w\s]|\n|[-]|\w")
-SENTENCE = re.compile(r"(?:(?<![A-Z])(?<![A-Z]r)(?<![A-Z]s)(?<!Mrs)[.!?]|\|)\s|\n(?:- |\d+[.)] |[A-Za-z]{2,3}: )|\n\s*\n")
-BULLET = re.compile(r"(?:^|\n)(?:- |\d+[.)] |[A-Za-z]{2,3}: )$")
+SENTENCE = re.compile(r"(?:(?<![A-Z])(?<![A-Z]r)(?<![A-Z]s)(?<!Mrs)[.!?]|\|)\s|\n(?:- |\d+[.)] |(?!SDT|DT|Tel|ID|TEL|SD)[A-Za-z]{2,3}: )|\n\s*\n")
+OPENING = re.compile(r"^(?:- |> |\d+[.)] |(?!SDT|DT|Tel|ID|TEL|SD)[A-Za-z]{2,3}: )")
+BULLET = re.compile(r"(?:^|\n)(?:- |\d+[.)] |(?!SDT|DT|Tel|ID|TEL|SD)[A-Za-z]{2,3}: )$")
 MARKS = {"number": "\ue001", "email": "\ue002", "address": "\ue003", "name": "\ue004"}
 FAMILY, MIDDLE, GIVEN = 1, 2, 4
 
@@ -106,10 +109,16 @@ def _left(text: str, start: int, before: tuple[int, str] | None) -> list[str]:
     if before and before[0] >= low:
         head, low = before[1], before[0]
     gap = text[low:start]
+    if low == 0 and not head:
+        head, gap = "^ ", OPENING.sub("", gap)
     cut = None
     for m in SENTENCE.finditer(gap):
         cut = m
-    if cut:
+    line = gap.rfind("\n")
+    # A line begins a sentence, unless the line before ends with a comma (a salutation) or is a candidate itself.
+    if line >= 0 and not (cut and cut.end() > line) and not gap[:line].endswith(",") and not (head and gap == "\n"):
+        head, gap = "^ ", gap[line + 1 :]
+    elif cut:
         head, gap = "^ ", gap[cut.end() :]
     elif BULLET.search(gap):
         head, gap = "^ ", ""
@@ -199,6 +208,8 @@ def _names(text: str, original, accented: dict[str, int], folded: dict[str, int]
         if style != "l" and not is_title(i):
             j = i
             while j + 1 < n and j - i < 3 and glued(j + 1) and words[j + 1][3] == style and not is_title(j + 1):
+                if words[j + 1][4] & FAMILY and glued(j + 2) and words[j + 2][4]:  # a full name begins there
+                    break
                 j += 1
             if j == i and i + 1 < n and text[b : words[i + 1][0]] == ", " and words[i + 1][3] == "C" and style == "C":
                 k = i + 1  # 'Last, First', if the second is one word
@@ -295,7 +306,8 @@ def candidates(df: DataFrame, doc_id: str, text: str, names: tuple[dict[str, int
                     else:
                         original = lambda x, y, own=own, place=place: unicodedata.normalize("NFC", own[place[x] : (place[y] if y < len(place) else len(own))]).strip().lower()
                     for x, y, *rest in _scan_text(shape, original, accented, folded):
-                        rows.append((doc, int(place[x]) + 1, int(place[y - 1]) + 2, *rest))
+                        end = int(place[y]) if y < len(place) else len(own)
+                        rows.append((doc, int(place[x]) + 1, end + 1, *rest))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
@@ -310,7 +322,7 @@ PATTERNS = (
     (("c2", "c1", "r1"), 3.0, 0.05),
     (("c2", "c1"), 2.0, 0.1),
     (("c1", "r1"), 1.5, 0.3),
-    (("c1",), 0.5, 1.0),
+    (("c1",), 0.1, 1.0),
 )
 _CONTEXT = ["grp", "c3", "c2", "c1", "r1"]
 
@@ -325,7 +337,7 @@ def score_contexts(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Candidates with one context are one node of the graph; its patterns are the other side. In each round a pattern's
     score is the share of its labelled candidates that are of the kind, candidates labelled by the round before
     counting TRUST if their score is decided, all other unlabelled ones the pattern's doubt against it; a context's score is the mean of its patterns' scores, by weight
-    and evidence.
+    and evidence, and of PRIOR.
     """
     nodes = found.groupBy(*_CONTEXT).agg(F.count_if(F.col("evidence") == 1).alias("pos"), F.count_if(F.col("evidence") == -1).alias("neg"), F.count_if(F.col("evidence") == 0).alias("unk")).withColumn("sig", signature())
     # At the start of a sentence there is nothing further left, so patterns without the word after say no more than ('c1',).
@@ -345,7 +357,7 @@ def score_contexts(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         patterns = labelled.groupBy("p").agg(F.sum("hit").alias("hit"), F.sum("all").alias("all")).where(F.col("all") > 0)
         patterns = patterns.select("p", ((F.col("hit") + 0.05) / (F.col("all") + 0.1)).alias("ps"), F.log1p("all").alias("pw"))
         by = skew_join(edges, patterns, ["p"]).where(F.col("ps").isNotNull())
-        scores = keep_table(by.groupBy("sig").agg((F.sum(F.col("w") * F.col("pw") * F.col("ps")) / F.sum(F.col("w") * F.col("pw"))).alias("score")))
+        scores = keep_table(by.groupBy("sig").agg(((F.sum(F.col("w") * F.col("pw") * F.col("ps")) + PRIOR * PRIOR_WEIGHT) / (F.sum(F.col("w") * F.col("pw")) + PRIOR_WEIGHT)).alias("score")))
     return scores
 
 

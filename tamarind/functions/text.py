@@ -74,7 +74,7 @@ def words(x: Column | str) -> Column:
 def replace_phrases(x: Column | str, phrases: dict[str, str]) -> Column:
     """Each phrase replaced where it stands as whole words, longest first, as one left-to-right pass per phrase."""
     ordered = sorted(phrases.items(), key=lambda kv: (-len(kv[0]), kv[0]))
-    return reduce(lambda c, kv: F.regexp_replace(c, rf"(?iU)(?<![\p{{L}}\p{{N}}_])\Q{kv[0]}\E(?![\p{{L}}\p{{N}}_])", kv[1].replace("\\", "\\\\").replace("$", "\\$")), ordered, _c(x))
+    return reduce(lambda c, kv: F.regexp_replace(c, rf"(?iu)(?<![\p{{L}}\p{{N}}_])\Q{kv[0]}\E(?![\p{{L}}\p{{N}}_])", kv[1].replace("\\", "\\\\").replace("$", "\\$")), ordered, _c(x))
 
 
 def replace_words(x: Column | str, mapping: dict[str, str], least: int = 2) -> Column:
@@ -162,14 +162,14 @@ def word_chunks(x: Column | str, size: int = 24) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))).otherwise(F.array().cast("array<string>"))
 
 
-@pandas_udf("double")
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else 100 * difflib.SequenceMatcher(None, x.lower().strip(), y.lower().strip()).ratio() for x, y in zip(a, b)])
-
-
 def ratio(a: Column | str, b: Column | str) -> Column:
     """How alike two strings are, 0 to 100, by their longest matching blocks (which levenshtein does not give)."""
-    return _ratio(_c(a), _c(b))
+
+    @pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else 100 * difflib.SequenceMatcher(None, p.lower().strip(), q.lower().strip()).ratio() for p, q in zip(x, y)])
+
+    return run(_c(a), _c(b))
 
 
 def jaccard(a: Column, b: Column) -> Column:

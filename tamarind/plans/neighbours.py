@@ -21,7 +21,9 @@ def with_previous(df: DataFrame, group: str, order: str, carry: list[str]) -> Da
     before. Those last rows, one a partition, are all the driver sees. Expects `order` to be unique in a group.
     """
     carry = [order, *[c for c in carry if c != order]]
-    ordered = cut(df.repartitionByRange(group, order).sortWithinPartitions(group, order))
+    # A number of its own keeps the partitions apart: what follows may cost far more than the bytes shuffled tell.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut(df.repartitionByRange(parts, group, order).sortWithinPartitions(group, order))
     tail_schema = T.StructType([T.StructField("_pid", T.IntegerType()), *[ordered.schema[c] for c in [group, *carry]]])
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,7 +80,7 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 def sql_files(spark: SparkSession, folder: str) -> DataFrame:
     """(template_id, sql): every .sql file of a folder by its stem; empty files are left out."""
     df = spark.read.option("pathGlobFilter", "*.sql").text(folder, wholetext=True).withColumn("_file", F.input_file_name())
-    return df.select(F.regexp_extract("_file", r"([^/]+)\.sql$", 1).alias("template_id"), F.trim("value").alias("sql")).where("sql <> ''")
+    return df.select(F.regexp_extract("_file", r"([^/]+)\.sql$", 1).alias("template_id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("sql")).where("sql <> ''")
 
 
 def save_template(folder: str, intent_id: str, sql: str) -> Path:

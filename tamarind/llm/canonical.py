@@ -21,10 +21,11 @@ def canonical_text(df: DataFrame, text: str, out: str = "canonical", flag: str =
     """df plus the canonical form of column `text`, and whether it differs from the stored text.
 
     A null text stays null and has not changed; an empty one stays empty. Texts of any length are worked on
-    whole. `out` and `flag` must not be columns of df (ValueError).
+    whole. Columns of df that are named like `out` or `flag` are replaced.
     """
-    if {out, flag} & set(df.columns):
-        raise ValueError(f"{out} or {flag} is a column already")
+    df = df.drop(*({out, flag} - {text}))
+    if text in (out, flag):
+        raise ValueError(f"{text} can't be both read and written")
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(flag, T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

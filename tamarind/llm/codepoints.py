@@ -361,19 +361,54 @@ class Words:
     length: np.ndarray  # of the folded form
 
 
-def fold(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, offsets, source place): without disguises, case and accents; what is no letter or digit is a space."""
+def _apart(cps: np.ndarray, off: np.ndarray, quick, whole) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, offsets, source place) by `quick`, place by place, for rows of ordinary characters, by `whole` for the others."""
+    odd = get(tables().suspicious, cps, False).astype(bool)
+    if not odd.any():
+        return quick(cps), off, np.arange(len(cps))
+    sick = np.diff(np.concatenate([[0], np.cumsum(odd)])[off]) > 0
+    lengths = np.diff(off)
+    there = np.repeat(sick, lengths)
+    at = np.flatnonzero(there)
+    c2, off2, src2 = whole(cps[at], np.concatenate([[0], np.cumsum(lengths[sick])]))
+    lengths[sick] = np.diff(off2)
+    noff = np.concatenate([[0], np.cumsum(lengths)])
+    place = np.repeat(sick, lengths)
+    out, src = np.empty(noff[-1], np.uint32), np.empty(noff[-1], np.int64)
+    out[place], src[place] = c2, at[src2]
+    out[~place], src[~place] = quick(cps[~there]), np.flatnonzero(~there)
+    return out, noff, src
+
+
+def _bare(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base letters and signs without disguises and marks, with their source places."""
     t = tables()
     stay = ~hidden(cps, off)
     src = np.flatnonzero(stay)
-    off2, c = keep(stay, off, cps)
-    c = mapped(t.plain, c)
-    b = mapped(t.base, c)
-    b = read_as_latin(b, off2)
-    mark = get(t.mark, b, False).astype(bool)
-    off3, b, src = keep(~mark, off2, b, src)
-    b = np.where(get(t.word, b, False).astype(bool), mapped(t.lower, b), np.uint32(0x20))
-    return b, off3, src
+    off, c = keep(stay, off, cps)
+    b = read_as_latin(mapped(t.base, mapped(t.plain, c)), off)
+    off, b, src = keep(~get(t.mark, b, False).astype(bool), off, b, src)
+    return b, off, src
+
+
+def _lettered(b: np.ndarray) -> np.ndarray:
+    t = tables()
+    return np.where(get(t.word, b, False).astype(bool), mapped(t.lower, b), np.uint32(0x20))
+
+
+def _without_accents(b: np.ndarray) -> np.ndarray:
+    b = mapped(tables().base, b)
+    return np.where(b == ord("đ"), np.uint32(ord("d")), np.where(b == ord("Đ"), np.uint32(ord("D")), b))
+
+
+def fold(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, offsets, source place): without disguises, case and accents; what is no letter or digit is a space."""
+
+    def whole(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b, o, src = _bare(c, o)
+        return _lettered(b), o, src
+
+    return _apart(cps, off, _lettered, whole)
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -423,11 +458,9 @@ def word_strings(cps: np.ndarray, off: np.ndarray) -> list[list[str]]:
 
 def fold_shape(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code points, offsets, source place): without disguises and accents, but with case and all visible signs."""
-    t = tables()
-    stay = ~hidden(cps, off)
-    src = np.flatnonzero(stay)
-    off, c = keep(stay, off, cps)
-    b = read_as_latin(mapped(t.base, mapped(t.plain, c)), off)
-    b = np.where(b == ord("đ"), np.uint32(ord("d")), np.where(b == ord("Đ"), np.uint32(ord("D")), b))
-    off, b, src = keep(~get(t.mark, b, False).astype(bool), off, b, src)
-    return b, off, src
+
+    def whole(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        b, o, src = _bare(c, o)
+        return _without_accents(b), o, src
+
+    return _apart(cps, off, _without_accents, whole)

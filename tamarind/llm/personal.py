@@ -54,7 +54,9 @@ NUMBER = re.compile(r"(?<![A-Za-z0-9_@/=])(?<![\w]-)(?<!\d\.)(?:\(\+?\d{1,4}\)[
 PASSPORT = re.compile(r"(?<![A-Za-z0-9_])[A-Z] ?\d{7,8}(?![A-Za-z0-9_])")
 DATE = re.compile(r"(?:19|20)\d\d[-.]\d\d?[-.]\d\d?|\d\d?[-.]\d\d?[-.](?:19|20)\d\d")
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
-_LOCAL = r"(?<![A-Za-z0-9._+\-])[A-Za-z0-9][A-Za-z0-9._+\-]*"
+_LOCAL = r"[A-Za-z0-9][A-Za-z0-9._+\-]*"
+_LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+-")
+AT_SIGN = re.compile(r"@|[\[({<] ?(?:at|a cong|acong) ?[\])}>]| a ?cong | at +[\w\-]+(?: +dot | ?[\[({<] ?dot)", re.IGNORECASE)
 _SPELT_DOT = r"(?: ?[\[({<] ?(?:dot|cham) ?[\])}>] ?| +(?:dot|cham) +)"
 EMAIL = re.compile(
     rf"{_LOCAL}(?: ?@ ?{_LABEL}(?:\.{_LABEL})+"
@@ -163,82 +165,119 @@ def _number(raw: str) -> tuple[str, int] | None:
     return ("other", -1)
 
 
-def _names(text: str, original, accented: dict[str, int], folded: dict[str, int], taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, evidence) of name-like stretches: known name words, words after a title, runs of capitalised words."""
-    words = []  # start, end, lower form, style, roles
-    for m in WORD.finditer(text):
-        a, b = m.span()
-        w = m.group()
+def _title(text: str, at: int, original) -> bool:
+    """Whether a title stands right before a place: 'anh ', 'Ms. '."""
+    end = at - 1
+    if end < 1 or text[end] not in " .":
+        return False
+    if text[end] == " " and text[end - 1] == ".":
+        end -= 1
+    start = end
+    while start > 0 and end - start <= 5 and text[start - 1].isalpha():
+        start -= 1
+    return text[start:end].lower() in TITLES and (start == 0 or not text[start - 1].isalnum()) and original(start, end) in _TITLE_FORMS | TITLES
+
+
+def _names(text: str, original, accented: dict[str, int], folded: dict[str, int], starts: re.Pattern, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, evidence) of name-like stretches: known name words, words after a title, runs of capitalised words.
+
+    Only capitalised words and known family names are looked at as starts, so ordinary words cost nothing.
+    """
+
+    def read(a: int, b: int) -> tuple[int, int, str, str, int]:
+        w = text[a:b]
         low = w.lower()
         roles = folded.get(low, 0)
         if roles:
             own = original(a, b)
             if own != low and _fold(own) == low:
                 roles = accented.get(own, 0)
-        style = "U" if len(w) > 1 and w.isupper() else "C" if w[0].isupper() else "l"
-        words.append((a, b, low, style, roles))
-    out, n, i = [], len(words), 0
-    blocked = 0
-    while i < n:
-        a, b, low, style, roles = words[i]
-        while blocked < len(taken) and taken[blocked][1] <= a:
-            blocked += 1
-        if blocked < len(taken) and taken[blocked][0] < b:
-            i += 1
-            continue
+        return a, b, low, "U" if len(w) > 1 and w.isupper() else "C" if w[0].isupper() else "l", roles
 
-        def glued(j: int) -> bool:
-            return j < n and words[j][0] == words[j - 1][1] + 1 and text[words[j - 1][1]] == " "  # noqa: B023
+    def after(b: int) -> tuple[int, int, str, str, int] | None:
+        if text[b : b + 1] != " ":
+            return None
+        m = WORD.match(text, b + 1)
+        return read(*m.span()) if m else None
 
-        def is_title(j: int) -> bool:
-            return words[j][2] in TITLES and original(words[j][0], words[j][1]) in _TITLE_FORMS | TITLES
+    def is_title(w: tuple) -> bool:
+        return w[2] in TITLES and original(w[0], w[1]) in _TITLE_FORMS | TITLES
 
-        titled = i > 0 and is_title(i - 1) and (glued(i) or text[words[i - 1][1] : a] in (". ", "."))
+    out, done, blocked = [], 0, 0
+    for m in starts.finditer(text):
+        if m.start() < done:
+            continue
+        while blocked < len(taken) and taken[blocked][1] <= m.start():
+            blocked += 1
+        if blocked < len(taken) and taken[blocked][0] < m.end():
+            continue
+        first = read(*m.span())
+        a, b, low, style, roles = first
         # A full name of known words: family name first, given name last, one style.
         if roles & FAMILY:
-            j = i
-            while j + 1 < n and j - i < 4 and glued(j + 1) and words[j + 1][4] and (words[j + 1][3] == style or (len(words[j + 1][2]) == 1 and style != "l" and words[j + 1][3] != "l")):
-                j += 1
-            while j > i and not words[j][4] & GIVEN:
-                j -= 1
-            if j - i >= 2 or (j - i == 1 and style != "l"):
-                out.append((a, words[j][1], 1 if j - i >= 2 or style == "C" else 0))
-                i = j + 1
-                continue
-        if style != "l" and not is_title(i):
-            j = i
-            while j + 1 < n and j - i < 3 and glued(j + 1) and words[j + 1][3] == style and not is_title(j + 1):
-                if words[j + 1][4] & FAMILY and glued(j + 2) and words[j + 2][4]:  # a full name begins there
-                    break
-                j += 1
-            if j == i and i + 1 < n and text[b : words[i + 1][0]] == ", " and words[i + 1][3] == "C" and style == "C":
-                k = i + 1  # 'Last, First', if the second is one word
-                if not (k + 1 < n and glued(k + 1) and words[k + 1][3] != "l"):
-                    out.append((a, words[k][1], 0))
-                    i = k + 1
-                    continue
-            if titled and (j > i or roles & GIVEN):
-                out.append((a, words[j][1], 1 if roles else 0))
-                i = j + 1
+            run = [first]
+            while len(run) < 5 and (w := after(run[-1][1])) and w[4] and (w[3] == style or (len(w[2]) == 1 and style != "l" and w[3] != "l")):
+                run.append(w)
+            while len(run) > 1 and not run[-1][4] & GIVEN:
+                run.pop()
+            if len(run) > 2 or (len(run) == 2 and style != "l"):
+                done = run[-1][1]
+                out.append((a, done, 1 if len(run) > 2 or style == "C" else 0))
                 continue
-            if titled and style == "C":
-                out.append((a, b, 0))
-            elif j - i in (1, 2):
-                turned = j - i == 1 and style == "C" and roles & GIVEN and words[j][4] & FAMILY  # given name first
-                out.append((a, words[j][1], 1 if turned else 0))
-            i = j + 1
+        if style == "l" or is_title(first):
             continue
-        i += 1
+        titled = _title(text, a, original)
+        run = [first]
+        while len(run) < 4 and (w := after(run[-1][1])) and w[3] == style and not is_title(w):
+            if w[4] & FAMILY and (x := after(w[1])) and x[4]:  # a full name begins there
+                break
+            run.append(w)
+        done = run[-1][1]
+        if len(run) == 1 and style == "C" and text[b : b + 2] == ", ":  # 'Last, First', if the second is one word
+            second = WORD.match(text, b + 2)
+            if second and (w := read(*second.span()))[3] == "C" and not ((x := after(w[1])) and x[3] != "l"):
+                done = w[1]
+                out.append((a, done, 0))
+                continue
+        if titled and (len(run) > 1 or roles & GIVEN):
+            out.append((a, done, 1 if roles else 0))
+        elif titled and style == "C":
+            out.append((a, b, 0))
+        elif len(run) in (2, 3):
+            turned = len(run) == 2 and style == "C" and roles & GIVEN and run[1][4] & FAMILY  # given name first
+            out.append((a, done, 1 if turned else 0))
     return out
 
 
-def _scan_text(text: str, original, accented: dict[str, int], folded: dict[str, int]) -> list[tuple]:
+def name_starts(folded: dict[str, int]) -> re.Pattern:
+    """Words a name may begin with: capitalised ones, and known family names in lower case."""
+    family = "|".join(sorted((w for w, r in folded.items() if r & FAMILY and w.isalpha()), key=len, reverse=True))
+    word = r"[A-Z][A-Za-z]*(?:['’][A-Za-z]+)*(?:-[A-Z][A-Za-z]+)*"
+    return re.compile(rf"(?<!\w)(?:{word}{'|' + family if family else ''})(?!\w)")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """E-mail addresses, sought around the sign (or the words) that makes one."""
+    done = 0
+    for m in AT_SIGN.finditer(text):
+        end = m.start()
+        while end > done and text[end - 1] == " ":
+            end -= 1
+        start = end
+        while start > done and text[start - 1] in _LOCAL_SIGNS:
+            start -= 1
+        while start < end and not text[start].isalnum():
+            start += 1
+        if start < end and (e := EMAIL.match(text, start)):
+            done = e.end()
+            yield e.span()
+
+
+def _scan_text(text: str, original, accented: dict[str, int], folded: dict[str, int], starts: re.Pattern) -> list[tuple]:
     """(start, end, family, group, evidence, c3, c2, c1, r1) of all candidates of one folded text."""
     spans: list[tuple[int, int, str, str, int]] = []
     taken: list[tuple[int, int]] = []
-    if "@" in text or "at" in text or "AT" in text or "cong" in text or "CONG" in text:
-        for m in EMAIL.finditer(text):
-            spans.append((*m.span(), "email", "email", 1))
+    spans += [(a, b, "email", "email", 1) for a, b in _emails(text)]
     for m in ADDRESS.finditer(text):
         end = m.end()
         while text[end - 1] in ".,":
@@ -256,7 +295,7 @@ def _scan_text(text: str, original, accented: dict[str, int], folded: dict[str,
         if not clear or s[0] >= clear[-1][1]:
             clear.append(s)
     taken = [(s[0], s[1]) for s in clear if s[2] != "number"]
-    clear += [(a, b, "name", "name", e) for a, b, e in _names(text, original, accented, folded, taken)]
+    clear += [(a, b, "name", "name", e) for a, b, e in _names(text, original, accented, folded, starts, taken)]
     clear.sort()
     out = []
     for k, (a, b, family, group, evidence) in enumerate(clear):
@@ -289,6 +328,7 @@ def candidates(df: DataFrame, doc_id: str, text: str, names: tuple[dict[str, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accented, folded = shared.value
+        starts = name_starts(folded)
         for whole in batches:
             for b in C.pieces(whole, 1):
                 docs, stored = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -305,7 +345,7 @@ def candidates(df: DataFrame, doc_id: str, text: str, names: tuple[dict[str, int
                         original = lambda x, y, own=own: own[x:y].lower()
                     else:
                         original = lambda x, y, own=own, place=place: unicodedata.normalize("NFC", own[place[x] : (place[y] if y < len(place) else len(own))]).strip().lower()
-                    for x, y, *rest in _scan_text(shape, original, accented, folded):
+                    for x, y, *rest in _scan_text(shape, original, accented, folded, starts):
                         end = int(place[y]) if y < len(place) else len(own)
                         rows.append((doc, int(place[x]) + 1, end + 1, *rest))
                 if rows:

@@ -22,7 +22,7 @@ def duck():
 
 
 def cell(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return "NULL"
     if isinstance(x, float):
         return f"{x:.6g}"

@@ -68,6 +68,7 @@ EMAIL = re.compile(
 WORD = re.compile(r"(?<!\w)[A-Za-z]+(?:['’][A-Za-z]+)*(?:-[A-Z][A-Za-z]+)*(?!\w)")
 TOKEN = re.compile(r"[A-Za-z]+|\d[\d.,/:]*|[^\w\s]|\n|[-]|\w")
 SENTENCE = re.compile(r"(?:(?<![A-Z])(?<![A-Z]r)(?<![A-Z]s)(?<!Mrs)[.!?]|\|)\s|\n(?:- |\d+[.)] |(?!SDT|DT|Tel|ID|TEL|SD)[A-Za-z]{2,3}: )|\n\s*\n")
+ENDS = frozenset(".!?|\n")
 OPENING = re.compile(r"^(?:- |> |\d+[.)] |(?!SDT|DT|Tel|ID|TEL|SD)[A-Za-z]{2,3}: )")
 BULLET = re.compile(r"(?:^|\n)(?:- |\d+[.)] |(?!SDT|DT|Tel|ID|TEL|SD)[A-Za-z]{2,3}: )$")
 MARKS = {"number": "\ue001", "email": "\ue002", "address": "\ue003", "name": "\ue004"}
@@ -106,7 +107,7 @@ def _fold(word: str) -> str:
 
 def _left(text: str, start: int, before: tuple[int, str] | None) -> list[str]:
     """Up to three tokens before a place, inside its sentence; a candidate there is one token."""
-    low = max(0, start - 70)
+    low = max(0, start - 48)
     head = ""
     if before and before[0] >= low:
         head, low = before[1], before[0]
@@ -114,8 +115,9 @@ def _left(text: str, start: int, before: tuple[int, str] | None) -> list[str]:
     if low == 0 and not head:
         head, gap = "^ ", OPENING.sub("", gap)
     cut = None
-    for m in SENTENCE.finditer(gap):
-        cut = m
+    if ENDS & set(gap):
+        for m in SENTENCE.finditer(gap):
+            cut = m
     line = gap.rfind("\n")
     # A line begins a sentence, unless the line before ends with a comma (a salutation) or is a candidate itself.
     if line >= 0 and not (cut and cut.end() > line) and not gap[:line].endswith(",") and not (head and gap == "\n"):
@@ -211,8 +213,12 @@ def _names(text: str, original, accented: dict[str, int], folded: dict[str, int]
             blocked += 1
         if blocked < len(taken) and taken[blocked][0] < m.end():
             continue
-        first = read(*m.span())
-        a, b, low, style, roles = first
+        a, b = m.span()
+        capital_next = text[b : b + 1] == " " and text[b + 1 : b + 2].isupper()
+        if not capital_next and text[b : b + 2] != ", " and not folded.get(m.group().lower(), 0) & FAMILY and not _title(text, a, original):
+            continue  # a capitalised word by itself
+        first = read(a, b)
+        low, style, roles = first[2:]
         # A full name of known words: family name first, given name last, one style.
         if roles & FAMILY:
             run = [first]
@@ -228,7 +234,7 @@ def _names(text: str, original, accented: dict[str, int], folded: dict[str, int]
             continue
         titled = _title(text, a, original)
         run = [first]
-        while len(run) < 4 and (w := after(run[-1][1])) and w[3] == style and not is_title(w):
+        while len(run) < 4 and text[run[-1][1] + 1 : run[-1][1] + 2].isupper() and (w := after(run[-1][1])) and w[3] == style and not is_title(w):
             if w[4] & FAMILY and (x := after(w[1])) and x[4]:  # a full name begins there
                 break
             run.append(w)
@@ -251,7 +257,10 @@ def _names(text: str, original, accented: dict[str, int], folded: dict[str, int]
 
 def name_starts(folded: dict[str, int]) -> re.Pattern:
     """Words a name may begin with: capitalised ones, and known family names in lower case."""
-    family = "|".join(sorted((w for w, r in folded.items() if r & FAMILY and w.isalpha()), key=len, reverse=True))
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted((w for w, r in folded.items() if r & FAMILY and w.isascii() and w.isalpha()), key=len, reverse=True):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    family = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items()))
     word = r"[A-Z][A-Za-z]*(?:['’][A-Za-z]+)*(?:-[A-Z][A-Za-z]+)*"
     return re.compile(rf"(?<!\w)(?:{word}{'|' + family if family else ''})(?!\w)")
 

@@ -6,6 +6,7 @@ question, so a batch of any size is routed in one narrow pass.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -44,6 +45,20 @@ def score(question: Column, e: Entry, keyword: float = KEYWORD, pattern: float =
     return total + common * _common(question, e.words)
 
 
+def intent_score(question: Column, keywords: list[str], examples: list[str], description: str, most_examples: int = 5) -> Column:
+    """2 for each keyword contained, 0.5 for each common word with each of the first examples, 0.3 with the description."""
+    total = score(question, Entry("", keywords), KEYWORD)
+    for e in examples[:most_examples]:
+        total = total + 0.5 * _common(question, folded_words(e))
+    return total + 0.3 * _common(question, folded_words(description))
+
+
+def folded_words(text: str) -> list[str]:
+    """The distinct folded words of a given text."""
+    plain = "".join(T.PLAIN[T.ACCENTED.index(c)] if c in T.ACCENTED else c for c in text.lower())
+    return sorted(set(re.findall(r"\w+", plain)))
+
+
 def ranked(question: Column, entries: list[Entry], **weights: float) -> Column:
     """array<struct<name, score>> of all entries, scores over the greatest (or as they are if all are 0), best first, equals in given order."""
     rows = F.array(*[F.struct(score(question, e, **weights).alias("score"), F.lit(i).alias("i"), F.lit(e.name).alias("name")) for i, e in enumerate(entries)])
@@ -88,5 +103,5 @@ def arbitrate(candidates: Column) -> Column:
 
 def profile_entries(profile: dict[str, dict[str, list[str]]]) -> list[Entry]:
     """Table entries out of a semantic profile {table: {column: suggested keywords}}: names and keywords, folded."""
-    plain = lambda s: "".join(T.PLAIN[T.ACCENTED.index(c)] if c in T.ACCENTED else c for c in s.lower())
-    return [Entry(t, words=sorted({w for c, ks in cols.items() for s in (c, *ks) for w in plain(s).replace("_", " ").split()}), keywords=sorted({plain(k) for ks in cols.values() for k in ks})) for t, cols in profile.items()]
+    words = lambda s: folded_words(s.replace("_", " "))
+    return [Entry(t, words=sorted({w for c, ks in cols.items() for s in (c, *ks) for w in words(s)}), keywords=sorted({" ".join(words(k)) for ks in cols.values() for k in ks})) for t, cols in profile.items()]

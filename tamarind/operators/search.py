@@ -116,15 +116,17 @@ def corpus_stats(docs: DataFrame, tokens: str) -> tuple[int, float]:
     return r[0], float(r[1] or 0.0)
 
 
-def bm25(questions: DataFrame, question_id: str, question_tokens: str, docs: DataFrame, doc_id: str, doc_tokens: str, k: int | None = 10, k1: float = K1, b: float = B, digits: int = 6) -> DataFrame:
+def bm25(questions: DataFrame, question_id: str, question_tokens: str, docs: DataFrame, doc_id: str, doc_tokens: str, k: int | None = 10, k1: float = K1, b: float = B, digits: int = 6, stats_tokens: str | None = None) -> DataFrame:
     """(question_id, rank, id, score) of the k best documents for each question, or with k=None all scores above 0, unranked.
 
     idf = max(0, ln((N - df + 0.5) / (df + 0.5) + 1)) with df at least 1; the sum runs over a question's distinct
     tokens; a document's token counts as often as it occurs. Documents that share no token score 0 and are left
-    out. Null token arrays are empty. Two passes over the documents: one for the statistics, one for the scores.
+    out. Null token arrays are empty. `stats_tokens` names another column for df and the mean length. Two passes over the documents: one for the statistics, one for the scores.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(doc_tokens, F.array().cast("array<string>")).alias("t"))
-    n, mean = corpus_stats(docs, "t")
+    none = F.array().cast("array<string>")
+    stats = docs.select(F.coalesce(stats_tokens or doc_tokens, none).alias("t"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(doc_tokens, none).alias("t"))
+    n, mean = corpus_stats(stats, "t")
     parts = []
     for block in _blocks(questions, question_id):
         got = [(r[0], sorted(set(r[1] or []))) for r in block.select(F.col(question_id).cast("long"), question_tokens).collect()]
@@ -132,7 +134,7 @@ def bm25(questions: DataFrame, question_id: str, question_tokens: str, docs: Dat
         if not terms:
             continue
         words = docs.sparkSession.createDataFrame([(w,) for w in terms], "w string")
-        seen = docs.select(F.explode(F.array_distinct("t")).alias("w")).join(F.broadcast(words), "w").groupBy("w").agg(F.count(F.lit(1)).alias("df")).collect()
+        seen = stats.select(F.explode(F.array_distinct("t")).alias("w")).join(F.broadcast(words), "w").groupBy("w").agg(F.count(F.lit(1)).alias("df")).collect()
         df = np.ones(len(terms))
         for r in seen:
             df[terms[r["w"]]] = max(1, min(r["df"], n))
@@ -176,6 +178,49 @@ def bm25(questions: DataFrame, question_id: str, question_tokens: str, docs: Dat
     return _last_rank(out, k) if k is not None else out.select("question_id", "id", "score")
 
 
+def hybrid_search(questions: DataFrame, docs: DataFrame, examples: DataFrame | None = None, k: int = 10, vectors: DataFrame | None = None, example_vectors: DataFrame | None = None) -> DataFrame:
+    """(question_id, rank, doc_id, score, score_semantic, score_bm25, score_keyword_boost, best_matching_example) of the k best documents.
+
+    questions: question_id, question, and optionally vector. docs: doc_id, document, and optionally description and
+    keyword. examples: example_id, doc_id, example_text. vectors: doc_id, vector of the documents' search texts;
+    example_vectors: example_id, doc_id, vector. A document's token counts once for itself and once for each example
+    that has it; lengths hold the examples, the mean length and document frequencies don't. Without vectors the
+    semantic score is 0. The candidates are the best documents of each part, k of the semantic ones and all that
+    share a word; equal scores go to the smaller doc_id.
+    """
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) if c in docs.columns else F.lit("")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_distinct(T.words(T.fold(F.concat_ws(" ", F.coalesce("document", F.lit("")), has("description"), has("keyword"))))).alias("own"), T.parse_keywords(has("keyword")).alias("keywords"))
+    if examples is not None:
+        said = examples.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(T.words(T.fold("example_text")))).alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("said"))
+        own = own.join(said, "doc_id", "left").withColumn("every", F.concat("own", F.coalesce("said", F.array().cast("array<string>")))).drop("said")
+    else:
+        own = own.withColumn("every", F.col("own"))
+    asked = questions.select(F.col("question_id").cast("long").alias("question_id"), "question", T.words(T.fold("question")).alias("qt"))
+    lexical = bm25(asked, "question_id", "qt", own, "doc_id", "every", None, stats_tokens="own").select("question_id", F.col("id").alias("doc_id"), F.col("score").alias("bm25"))
+    scores = lexical.withColumn("score_bm25", by_max("bm25", ["question_id"])).drop("bm25").withColumn("semantic", F.lit(0.0)).withColumn("example_id", F.lit(None).cast("long"))
+    for df, share in ((example_vectors, SEMANTIC_EXAMPLE), (vectors, SEMANTIC_TEXT)):
+        if df is None or "vector" not in questions.columns:
+            continue
+        is_example = share == SEMANTIC_EXAMPLE
+        key = "example_id" if is_example else "doc_id"
+        near = top_k_cosine(questions, "question_id", "vector", df, key, "vector", max(k, 50))
+        near = near.join(df.select(F.col(key).alias("id"), "doc_id"), "id") if is_example else near.withColumn("doc_id", F.col("id"))
+        best = max_similarity(near, ["question_id", "doc_id"], "score", "id").withColumnRenamed("best_matching_example", "near_id")
+        scores = scores.join(best, ["question_id", "doc_id"], "full").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)) + share * F.coalesce("score_max_example", F.lit(0.0)))
+        scores = scores.withColumn("example_id", F.coalesce("near_id", "example_id") if is_example else F.col("example_id")).drop("score_max_example", "near_id")
+    full = scores.join(own.select("doc_id", "keywords"), "doc_id").join(asked.select("question_id", "question"), "question_id")
+    full = full.withColumn("score_keyword_boost", keyword_boost(F.col("keywords"), F.col("question"))).withColumn("score_bm25", F.coalesce("score_bm25", F.lit(0.0)))
+    full = full.withColumn("score", F.round(hybrid(F.col("semantic"), F.col("score_bm25"), F.col("score_keyword_boost")), 6))
+    cols = [F.col("semantic").alias("score_semantic"), "score_bm25", "score_keyword_boost"]
+    w = W.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")  # its filter keeps k a task before the shuffle
+    ranked = full.select("question_id", "doc_id", "score", *cols, "example_id", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    if examples is None:
+        named = ranked.withColumn("best_matching_example", F.lit(None).cast("string"))
+    else:
+        named = ranked.join(examples.groupBy("example_id").agg(F.first("example_text").alias("best_matching_example")), "example_id", "left")
+    return named.select("question_id", "rank", "doc_id", "score", "score_semantic", "score_bm25", "score_keyword_boost", "best_matching_example")
+
+
 def keyword_boost(keywords: Column, question: Column, each: float = 0.25) -> Column:
     """0.25 for each keyword the question contains, at most 1; without keywords 0."""
     q = F.lower(question)

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from tamarind.functions import dates, entities
 from tamarind.functions import text as T
-from tamarind.operators import evaluate, route, search
+from tamarind.operators import corpus, evaluate, route, search
 from tamarind.sources.tables import read_table as table
 
 QUERIES = {}
@@ -65,26 +65,25 @@ def tokens_ngrams(spark, d):
 
 @query(f"SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({words_sql('lower(text)')}) AS w FROM documents) GROUP BY w")
 def doc_freq(spark, d):
-    return docs(spark, d).select(F.explode(F.array_distinct(T.words(F.lower("text")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    return corpus.document_frequency(docs(spark, d), "text")
 
 
 @query(f"""WITH w AS (SELECT {words_sql('lower(example_text)')} AS t FROM examples), u AS (SELECT x AS w, count(*) AS n FROM (SELECT unnest(t) AS x FROM w) GROUP BY x),
 b AS (SELECT a || '_' || c AS pair, a, c, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(t)), lambda i: struct_pack(a := t[i], c := t[i + 1]))) AS p FROM w) q, (SELECT 1) z, LATERAL (SELECT q.p.a AS a, q.p.c AS c) r GROUP BY ALL)
 SELECT pair, b.n, round(ln(b.n * (SELECT sum(n) FROM u) / (x.n * y.n) + 1e-9), 4) AS pmi FROM b JOIN u x ON x.w = b.a JOIN u y ON y.w = b.c WHERE b.n >= 3 AND ln(b.n * (SELECT sum(n) FROM u) / (x.n * y.n) + 1e-9) >= 3.0""")
 def pmi_phrases(spark, d):
-    return learn_phrases(table(spark, d, "examples"), "example_text")
+    return corpus.phrases(table(spark, d, "examples"), "example_text")
 
 
-def learn_phrases(df: DataFrame, text: str, least: int = 3, least_pmi: float = 3.0) -> DataFrame:
-    """Word pairs that occur together at least `least` times with a PMI of at least `least_pmi`."""
-    t = df.select(T.words(F.lower(text)).alias("t"))
-    u = t.select(F.explode("t").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("u"))
-    pairs = t.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 1, F.lit(1))), lambda i: F.when(F.size("t") > i, F.struct(F.try_element_at("t", i).alias("a"), F.try_element_at("t", i + 1).alias("b"))))).alias("p"))
-    pairs = pairs.where(F.col("p").isNotNull()).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    total = u.agg(F.sum("u").alias("total"))
-    joined = pairs.join(u.select(F.col("w").alias("a"), F.col("u").alias("ua")), "a").join(u.select(F.col("w").alias("b"), F.col("u").alias("ub")), "b").join(F.broadcast(total))
-    pmi = F.log(F.col("n") * F.col("total") / (F.col("ua") * F.col("ub")) + 1e-9)
-    return joined.where(pmi >= least_pmi).select(F.concat_ws("_", "a", "b").alias("pair"), "n", F.round(pmi, 4).alias("pmi"))
+@query(f"""WITH n AS (SELECT w, count(*) AS n FROM (SELECT unnest({words_sql('lower(example_text)')}) AS w FROM examples) GROUP BY w), g AS (SELECT {fold_sql('w')} AS base, w, n FROM n)
+SELECT arg_min(w, struct_pack(a := -n, b := length(w), c := w)) AS stem, CAST(count(*) AS BIGINT) AS n_variants FROM g GROUP BY base HAVING count(*) > 1""")
+def stem_groups(spark, d):
+    return corpus.stems(table(spark, d, "examples"), "example_text").select("stem", F.size("variants").cast("long").alias("n_variants"))
+
+
+@query(f"SELECT w, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({words_sql('lower(text)')}) AS w FROM documents) WHERE length(w) <= 3 GROUP BY w HAVING count(*) >= 0.15 * (SELECT count(*) FROM documents)")
+def stop_words(spark, d):
+    return corpus.stop_words(docs(spark, d), "text", 0.15)
 
 
 @query("""SELECT doc_id, CAST(ceil(len(w) / 24.0) AS BIGINT) AS n_chunks, array_to_string(w[1:24], ' ') AS first_chunk FROM
@@ -182,6 +181,21 @@ def hybrid_topk(spark, d):
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("question_id", "rank", "id", "score")
 
 
+@query(f"""WITH e AS (SELECT DISTINCT example_id, doc_id, example_text FROM examples), dt AS (SELECT doc_id, list_distinct({words_sql(fold_sql('text'))}) AS t FROM documents),
+et AS (SELECT doc_id, list_distinct({words_sql(fold_sql('example_text'))}) AS t FROM e), every AS (SELECT doc_id, unnest(t) AS w FROM dt UNION ALL SELECT doc_id, unnest(t) FROM et WHERE doc_id IN (SELECT doc_id FROM dt)),
+len AS (SELECT doc_id, count(*) AS len FROM every GROUP BY doc_id), tf AS (SELECT doc_id, w, count(*) AS tf FROM every GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM (SELECT doc_id, unnest(t) AS w FROM dt) GROUP BY w),
+st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM dt), q AS (SELECT item_id AS q, unnest(list_distinct({words_sql(fold_sql('text'))})) AS w FROM eval_item WHERE item_id % 100 = 0),
+b AS (SELECT q AS question_id, tf.doc_id, round(sum(greatest(0, ln((n - coalesce(df, 1) + 0.5) / (coalesce(df, 1) + 0.5) + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS s
+FROM q JOIN tf USING (w) JOIN len ON len.doc_id = tf.doc_id LEFT JOIN df USING (w), st GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, doc_id) AS rank FROM b WHERE s > 0)
+SELECT question_id, CAST(rank AS INTEGER) AS rank, doc_id, round(round(0.2 * s / (SELECT max(s) FROM b m WHERE m.question_id = r.question_id), 6), 4) AS score FROM r WHERE rank <= 5""")
+def kb_search(spark, d):
+    """The whole search over a knowledge base of documents and their examples; without vectors it is lexical."""
+    q = table(spark, d, "eval_item").where("item_id % 100 = 0").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    e = table(spark, d, "examples").select("example_id", "doc_id", "example_text").distinct()
+    found = search.hybrid_search(q, docs(spark, d).select("doc_id", F.col("text").alias("document")), e, k=5)
+    return found.select("question_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
 @query(f"""WITH g AS (SELECT id, list_distinct({words_sql(fold_sql('question'))}) AS t FROM gold_test_set), o AS (SELECT min(example_id) AS o, t FROM (SELECT example_id, list_sort(list_distinct({words_sql(fold_sql('example_text'))})) AS t FROM examples) WHERE len(t) > 0 GROUP BY t),
 p AS (SELECT id, o, len(list_intersect(g.t, o.t)) / (len(g.t) + len(o.t) - len(list_intersect(g.t, o.t))) AS s FROM g, o WHERE len(g.t) > 0),
 b AS (SELECT id, count(*) AS n_links, max(s) AS s, arg_min(o, struct_pack(a := -s, b := o)) AS best_id FROM p WHERE s >= 0.8 - 1e-9 GROUP BY id)

@@ -167,3 +167,54 @@ def test_generation(spark):
     assert p == {"amount": "METRIC", "status": "DIMENSION", "trans_date": "TEMPORAL", "x": "IDENTITY"}
     made = generate.intents(generate.profile(cols), "t").collect()
     assert {"SUM", "GROUP_SUM", "COMPARE", "PERIOD"} <= {r["kind"] for r in made} and all("{{" not in r["sql"] for r in made)
+
+
+def test_pipeline(views, tmp_path):
+    from datetime import date
+
+    from tamarind.pipeline import Domain, Pipeline
+
+    bank = Domain(
+        route.Entry("banking", ["tai khoan", "giao dich"]),
+        [route.Entry("by_day", ["giao dich"])],
+        {"by_day": "SELECT id, name FROM txn WHERE day >= '{start_date}' AND day <= '{end_date}' AND id <> {account_number}"},
+        [route.Entry("txn", ["giao dich"])],
+        {"txn": [("id", "int"), ("name", "string"), ("day", "string")]},
+    )
+    staff = Domain(route.Entry("hrm", ["cham cong"]), [route.Entry("att", ["cham cong"])], tables=[route.Entry("txn", ["cham cong"])])
+    asked = []
+
+    def generator(prompt):
+        asked.append(prompt)
+        return "SELECT nope FROM txn" if len(asked) == 1 else "```sql\nSELECT name FROM txn;\n```"
+
+    p = Pipeline([bank, staff], date(2026, 3, 26), generator, execute.QueryCache(str(tmp_path / "cache.json")))
+    q = "giao dịch của tài khoản 1234567890 trong tháng 1"
+    first, again = p.answer(views, q), p.answer(views, q)
+    assert first["validator"] == again["validator"] == "PASS" and first["rows"] == again["rows"] == 2 and not asked
+    made = p.answer(views, "chấm công thế nào")
+    assert made["validator"] == "PASS" and made["sql"] == "SELECT name FROM txn" and len(asked) == 2
+    assert p.answer(views, "trời đẹp")["validator"] == "DOMAIN_AMBIGUOUS" and p.answer(views, "xin chào")["validator"] == "CHITCHAT"
+    assert p.answer(views, "trời đẹp", forced="hrm")["domain"] == "hrm"
+    plan = p.plan(views.createDataFrame([(q,), (None,), ("",)], "question string"))
+    assert [r["domain"] for r in plan.collect()] == ["banking", None, None] and "Exchange" not in plan._jdf.queryExecution().toString()
+
+
+def test_hybrid_search(spark):
+    q = spark.createDataFrame([(1, "mở tài khoản", [1.0, 0.0])], "question_id long, question string, vector array<float>")
+    docs = spark.createDataFrame([(1, "Mở tài khoản", "tài khoản, mở"), (2, "Đóng thẻ", None), (3, None, None)], "doc_id long, document string, keyword string")
+    ex = spark.createDataFrame([(10, 2, "tài khoản nào"), (11, 2, "đóng thẻ")], "example_id long, doc_id long, example_text string")
+    vec = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "doc_id long, vector array<float>")
+    ev = spark.createDataFrame([(10, 2, [0.6, 0.8]), (11, 2, [1.0, 0.0])], "example_id long, doc_id long, vector array<float>")
+    got = search.hybrid_search(q, docs, ex, 5, vec, ev).collect()
+    assert [r["doc_id"] for r in got] == [2, 1] and got[0]["best_matching_example"] == "đóng thẻ" and abs(got[0]["score_semantic"] - 1.0) < 1e-6
+    assert [r["doc_id"] for r in search.hybrid_search(q.drop("vector"), docs, None, 5).collect()] == [1]
+
+
+def test_corpus_learning(spark):
+    from tamarind.operators import corpus
+
+    df = spark.createDataFrame([("tài khoản mới",), ("tai khoan cũ",), ("tài khoản",), (None,), ("",)], "t string")
+    assert {(r["stem"], tuple(r["variants"])) for r in corpus.stems(df, "t").collect()} == {("tài", ("tai", "tài")), ("khoản", ("khoan", "khoản"))}
+    assert corpus.phrases(df, "t", 2, -10).first()["pair"] == "tài_khoản"
+    assert corpus.stop_words(df.where("t <> ''"), "t", 0.6).count() == 1

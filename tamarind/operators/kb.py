@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tamarind.functions import text as T
 
 DOCUMENTS = "doc_id long, document string, metadata string, description string, examples_raw string, keyword string, search_text string, similarity_score double, duplicate_with_id long, duplicate_with_name string"
+POINTER = "current.json"
 EXAMPLES = "doc_id long, example_text string, example_formatted string"
 
 
@@ -24,10 +25,17 @@ class KnowledgeBase:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.pointer = Path(self.folder.removeprefix("file://")) / "current.json"
+        jvm = spark._jvm
+        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        self._fs = self._path("x").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def exists(self) -> bool:
-        return self.pointer.exists()
+        return self._fs.exists(self._path(POINTER))
+
+    def _current(self) -> dict[str, str]:
+        if not self.exists():
+            raise FileNotFoundError(f"no knowledge base in {self.folder}")
+        return json.loads(self.spark.read.text(f"{self.folder}/{POINTER}", wholetext=True).first()[0])
 
     def create(self) -> None:
         """Empty tables, if there are none."""
@@ -43,23 +51,22 @@ class KnowledgeBase:
             return False
 
     def drop(self) -> None:
-        self.pointer.unlink(missing_ok=True)
+        self._fs.delete(self._path(POINTER), False)
 
     def table(self, name: str) -> DataFrame:
-        if not self.exists():
-            raise FileNotFoundError(f"no knowledge base in {self.folder}")
-        return self.spark.read.schema(DOCUMENTS if name == "documents" else EXAMPLES).parquet(f"{self.folder}/{json.loads(self.pointer.read_text())[name]}")
+        return self.spark.read.schema(DOCUMENTS if name == "documents" else EXAMPLES).parquet(f"{self.folder}/{self._current()[name]}")
 
     def _write(self, changed: dict[str, DataFrame]) -> None:
-        now = json.loads(self.pointer.read_text()) if self.exists() else {}
+        now = self._current() if self.exists() else {}
         for name, df in changed.items():
             version = f"{name}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.folder}/{version}")
             now[name] = version
-        self.pointer.parent.mkdir(parents=True, exist_ok=True)
-        new = self.pointer.with_suffix(".new")
-        new.write_text(json.dumps(now))
-        new.replace(self.pointer)
+        out = self._fs.create(self._path(POINTER + ".new"), True)
+        out.write(bytearray(json.dumps(now), "utf-8"))
+        out.close()
+        self._fs.delete(self._path(POINTER), False)
+        self._fs.rename(self._path(POINTER + ".new"), self._path(POINTER))
 
     def _rows(self, sheet: DataFrame, doc_id: Column) -> DataFrame:
         has = lambda c: F.col(c) if c in sheet.columns else F.lit(None).cast("string")
@@ -75,9 +82,10 @@ class KnowledgeBase:
         """Documents (column document, and any of metadata, description, examples, keyword) with their examples; ids go on from the greatest."""
         docs = self.table("documents")
         start = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-        indexed = sheet.where(F.length(F.trim("document")) > 0).rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-        numbered = self.spark.createDataFrame(indexed, sheet.schema.add("_n", "long"))
-        new = self._rows(numbered, F.col("_n") + F.lit(start + 1))
+        placed = sheet.where(F.length(F.trim("document")) > 0).withColumn("_at", F.monotonically_increasing_id())
+        # A sheet is what a person uploads, so numbering it in one window is no matter.
+        numbered = placed.withColumn("_n", F.row_number().over(W.orderBy("_at")))
+        new = self._rows(numbered, (F.col("_n") + F.lit(start)).cast("long"))
         self._write({"documents": docs.unionByName(new), "examples": self.table("examples").unionByName(self._examples(new))})
 
     def update(self, doc_id: int, sheet: DataFrame) -> None:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql import Window as W
 
 from tamarind.functions import text as T
@@ -21,8 +22,10 @@ from tamarind.functions import text as T
 K1, B = 1.5, 0.75
 SEMANTIC_EXAMPLE, SEMANTIC_TEXT = 0.7, 0.3
 HYBRID = (0.7, 0.2, 0.1)
-#: Questions of one block: bounds the driver's and every task's share of the query side.
-BLOCK = 2_000
+#: Questions of one block, for vectors and for words: bounds the driver's and every task's share of the query side.
+BLOCK, WORD_BLOCK = 10_000, 1_000
+#: Rows scored against a block at once.
+ROWS = 256
 
 
 class _Best:
@@ -58,9 +61,9 @@ def _last_rank(parts: DataFrame, k: int) -> DataFrame:
     return best.select("question_id", F.posexplode("b").alias("rank", "b")).select("question_id", (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
 
 
-def _blocks(df: DataFrame, key: str) -> list[DataFrame]:
+def _blocks(df: DataFrame, key: str, size: int) -> list[DataFrame]:
     n = df.count()
-    parts = max(1, -(-n // BLOCK))
+    parts = max(1, -(-n // size))
     return [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
@@ -78,31 +81,16 @@ def top_k_cosine(questions: DataFrame, question_id: str, question_vec: str, rows
     the question's, are left out; a zero vector has cosine 0. Ids are whole numbers.
     """
     parts = []
-    for block in _blocks(questions.where(F.col(question_vec).isNotNull()), question_id):
-        got = block.select(question_id, question_vec).collect()
-        sizes: dict[int, tuple[list, np.ndarray]] = {}
-        for size in {len(r[1]) for r in got}:
-            own = [r for r in got if len(r[1]) == size]
-            m = np.array([r[1] for r in own], np.float64)
-            sizes[size] = ([r[0] for r in own], m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
-        shared = rows.sparkSession.sparkContext.broadcast(sizes)
+    for block in _blocks(questions.where(F.col(question_vec).isNotNull()), question_id, BLOCK):
+        shared = rows.sparkSession.sparkContext.broadcast(_by_length(block.select(question_id, question_vec).collect(), True))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = {size: _Best(k, digits) for size in shared.value}
-            for b in batches:
-                lists = b.column(1)
-                lengths = np.diff(lists.offsets.to_numpy())
-                flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                starts = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
-                for size, (_, q) in shared.value.items():
-                    at = np.flatnonzero((lengths == size) & lists.is_valid().to_numpy(zero_copy_only=False))
-                    if len(at):
-                        m = flat[starts[at][:, None] + np.arange(size)]
-                        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                        score = q @ m.T
-                        for i in range(len(q)):
-                            held[size].add(i, score[i], ids[at])
+            for ids, size, m in _vectors(batches, set(shared.value)):
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                score = shared.value[size][1] @ m.T
+                for i in range(len(score)):
+                    held[size].add(i, score[i], ids.to_numpy(zero_copy_only=False))
             for size, best in held.items():
                 yield best.batch(shared.value[size][0])
 
@@ -110,6 +98,60 @@ def top_k_cosine(questions: DataFrame, question_id: str, question_vec: str, rows
     return _last_rank(_union(parts), k)
 
 
+def _by_length(rows: list, unit: bool) -> dict[int, tuple[list, np.ndarray]]:
+    """Vectors as a matrix for each length, with their ids."""
+    out = {}
+    for size in {len(r[1]) for r in rows}:
+        own = [r for r in rows if len(r[1]) == size]
+        m = np.array([r[1] for r in own], np.float64)
+        out[size] = ([r[0] for r in own], m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if unit else m)
+    return out
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], sizes: set[int]) -> Iterator[tuple[pa.Array, int, np.ndarray]]:
+    """(keys, length, matrix) of at most ROWS vectors of one length each; other lengths and nulls are passed over."""
+    for b in batches:
+        lists = b.column(1)
+        off = lists.offsets.to_numpy()
+        lengths, starts = np.diff(off), off[:-1] - off[0]
+        flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+        for size in sizes:
+            every = np.flatnonzero((lengths == size) & lists.is_valid().to_numpy(zero_copy_only=False))
+            for a in range(0, len(every), ROWS):
+                at = every[a : a + ROWS]
+                yield b.column(0).take(pa.array(at)), size, flat[starts[at][:, None] + np.arange(size)]
+
+
+def max_dot_by_group(questions: DataFrame, question_id: str, question_vec: str, rows: DataFrame, group: str, row_vec: str, digits: int = 6) -> DataFrame:
+    """(question_id, group, score_max_example): the greatest dot product of each question with the rows of each group.
+
+    Tasks keep one maximum for each question and group, which is all that is shuffled. A null group is a group.
+    """
+    kind = rows.schema[group].dataType
+    parts = []
+    for block in _blocks(questions.where(F.col(question_vec).isNotNull()), question_id, BLOCK):
+        shared = rows.sparkSession.sparkContext.broadcast(_by_length(block.select(question_id, question_vec).collect(), False))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, object], np.ndarray] = {}
+            arrow = None
+            for groups, size, m in _vectors(batches, set(shared.value)):
+                arrow = groups.type
+                score = shared.value[size][1] @ m.T
+                names = np.array(groups.to_pylist(), object)
+                for g in set(names.tolist()):
+                    top = score[:, np.equal(names, g).astype(bool)].max(axis=1)
+                    key = (size, g)
+                    best[key] = np.maximum(best[key], top) if key in best else top
+            for (size, g), top in best.items():
+                ids = shared.value[size][0]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([g] * len(ids), arrow), pa.array(np.round(top, digits))], ["question_id", "g", "s"])
+
+        schema = T_.StructType([T_.StructField("question_id", T_.LongType()), T_.StructField("g", kind), T_.StructField("s", T_.DoubleType())])
+        parts.append(rows.select(group, row_vec).mapInArrow(run, schema))
+    return _union(parts).groupBy("question_id", F.col("g").alias(group)).agg(F.max("s").alias("score_max_example"))
+
+
 def corpus_stats(docs: DataFrame, tokens: str) -> tuple[int, float]:
     """(documents, mean length in tokens)."""
     r = docs.agg(F.count(F.lit(1)), F.avg(F.size(tokens))).first()
@@ -128,7 +170,7 @@ def bm25(questions: DataFrame, question_id: str, question_tokens: str, docs: Dat
     docs = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(doc_tokens, none).alias("t"))
     n, mean = corpus_stats(stats, "t")
     parts = []
-    for block in _blocks(questions, question_id):
+    for block in _blocks(questions, question_id, WORD_BLOCK):
         got = [(r[0], sorted(set(r[1] or []))) for r in block.select(F.col(question_id).cast("long"), question_tokens).collect()]
         terms = {w: i for i, w in enumerate(sorted({w for _, ws in got for w in ws}))}
         if not terms:

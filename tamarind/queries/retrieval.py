@@ -125,12 +125,8 @@ def cosine_topk(spark, d):
 s AS (SELECT q.vec_id AS question_id, e.label, e.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM q, embeddings e)
 SELECT question_id, label, max(score) AS score_max_example FROM s GROUP BY ALL""")
 def maxsim_by_label(spark, d):
-    """The stated questions' vectors ride along as one literal array, and every row is scored against them in the JVM."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("qs"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = e.join(F.broadcast(q)).select("label", F.explode(F.transform("qs", lambda x: F.struct(x["vec_id"].alias("question_id"), F.round(dot(x["embedding"], F.col("embedding")), 6).alias("score")))).alias("s"))
-    return scored.groupBy("s.question_id", "label").agg(F.max("s.score").alias("score_max_example"))
+    return search.max_dot_by_group(e.where("vec_id % 100 = 0"), "vec_id", "embedding", e, "label", "embedding")
 
 
 _BM25_CTE = f"""WITH qt AS (SELECT DISTINCT item_id AS q, unnest({words_sql(fold_sql('text'))}) AS w FROM eval_item), d AS (SELECT doc_id, {words_sql(fold_sql('text'))} AS t FROM documents),

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarind.plans.shared import cut
+from tamarind.plans.shared import keep_table
 from tamarind.plans.skew import skew_join
 
 KEYS = ["relation", "key"]
@@ -69,17 +69,17 @@ def advance(state: State, refs: DataFrame, pars: DataFrame, keep_live: bool = Fa
     index once, under a skew-safe join. A null deletion never wins over a real one. An empty slice changes
     nothing. keep_live also counts the resolved references by key and period, which reopened() needs.
     """
-    index = cut(state.index.unionByName(pars).groupBy(*KEYS).agg(F.min("parent_loaded").alias("parent_loaded"), F.min("deleted_at").alias("deleted_at")))
-    probed = cut(skew_join(state.pending.unionByName(refs), index, KEYS))
+    index = keep_table(state.index.unionByName(pars).groupBy(*KEYS).agg(F.min("parent_loaded").alias("parent_loaded"), F.min("deleted_at").alias("deleted_at")))
     cols = refs.columns
-    pending = probed.where(F.col("parent_loaded").isNull()).select(cols)
-    cases = probed.where(F.col("parent_loaded").isNotNull()).select(*cols, _reason().alias("why")).where(F.col("why").isNotNull())
+    known = F.col("parent_loaded").isNotNull()
+    probed = skew_join(state.pending.unionByName(refs), index, KEYS).select(*cols, known.alias("known"), F.when(known, _reason()).alias("why"))
+    # References that are fine are dropped before anything is written, unless their counts are wanted.
+    probed = keep_table(probed if keep_live else probed.where(~F.col("known") | F.col("why").isNotNull()))
     live = state.live
     if keep_live:
-        fine = probed.where(F.col("parent_loaded").isNotNull() & (F.coalesce(_reason(), F.lit("late")) == "late"))
-        fine = fine.groupBy(*KEYS, "period").agg(F.count(F.lit(1)).alias("n"))
-        live = cut(live.unionByName(fine).groupBy(*KEYS, "period").agg(F.sum("n").alias("n")))
-    return State(index, pending, state.found.unionByName(cases), live)
+        fine = probed.where(F.col("known") & (F.coalesce("why", F.lit("late")) == "late")).groupBy(*KEYS, "period").agg(F.count(F.lit(1)).alias("n"))
+        live = keep_table(live.unionByName(fine).groupBy(*KEYS, "period").agg(F.sum("n").alias("n")))
+    return State(index, probed.where(~F.col("known")).select(cols), state.found.unionByName(probed.where("why IS NOT NULL").select(*cols, "why")), live)
 
 
 def bounds(frames: list[DataFrame], cols: list[str], slices: int) -> list:
@@ -94,7 +94,7 @@ def bounds(frames: list[DataFrame], cols: list[str], slices: int) -> list:
 
 def track(refs: DataFrame, pars: DataFrame, slices: int = 3, keep_live: bool = False, each=None) -> State:
     """Runs the state over `slices` of load time, in order; `each(until, state)` sees the state after each slice."""
-    refs, pars = cut(refs), cut(pars)
+    refs, pars = keep_table(refs), keep_table(pars)
     marks = [None, *bounds([refs, pars], ["child_loaded", "parent_loaded"], slices), None]
     state = empty(refs, pars)
     for low, high in zip(marks, marks[1:]):

@@ -198,3 +198,8 @@ def embedded_json(x: Column | str) -> Column:
     """The stretch from the first { to the last } of a text, as a model wraps its answer in prose; null if it does not parse."""
     t = F.regexp_extract(_c(x), r"(?s)(\{.*\})", 1)
     return F.when(F.try_parse_json(t).isNotNull(), t)
+
+
+def raw_text(metadata: Column | str) -> Column:
+    """The SQL template that a document's metadata holds."""
+    return F.get_json_object(_c(metadata), "$.raw_text")

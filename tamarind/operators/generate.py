@@ -84,8 +84,10 @@ def intents(profiled: DataFrame, table: str) -> DataFrame:
     return both.select(F.concat_ws("_", F.lit(table), F.lower("kind"), "on").alias("intent_id"), "kind", "question", "sql")
 
 
-def variations(df: DataFrame, question: str, synonyms: dict[str, list[str]], prefixes: list[str] = [], suffixes: list[str] = [], most: int = 1000) -> DataFrame:  # noqa: B006
-    """(question, base_question): the base, with synonyms put in, prefixes and suffixes, without accents, in upper and lower case.
+def variations(df: DataFrame, question: str, synonyms: dict[str, list[str]], prefixes: list[str] = [], suffixes: list[str] = [], most: int = 1000, typos: bool = False) -> DataFrame:  # noqa: B006
+    """(question, base_question): the base, with synonyms put in, prefixes and suffixes, without accents, in upper and lower case, and with a slip of the keys.
+
+    Pronouns, verbs, abbreviations, regional words and words of another language are synonyms like others.
 
     Questions that agree but for case are one (the first by text); at most `most` variants of each base are made, by layers.
     """
@@ -93,11 +95,17 @@ def variations(df: DataFrame, question: str, synonyms: dict[str, list[str]], pre
     swapped = [F.when(F.contains(F.lower(base), F.lit(k)), F.regexp_replace(F.lower(base), rf"\Q{k}\E", v)) for k, vs in synonyms.items() for v in vs]
     layer = F.filter(F.array(base, *swapped), lambda x: x.isNotNull())
     affixed = F.flatten(F.transform(layer, lambda x: F.array(x, *[F.concat(F.lit(p + " "), x) for p in prefixes], *[F.concat(x, F.lit(" " + s)) for s in suffixes])))
-    every = F.slice(F.array_distinct(F.flatten(F.transform(affixed, lambda x: F.array(x, T.fold(x), F.upper(x))))), 1, most)
+    every = F.slice(F.array_distinct(F.flatten(F.transform(affixed, lambda x: F.array(x, T.fold(x), F.upper(x), *([typo(x)] if typos else []))))), 1, most)
     rows = df.select(base.alias("base_question"), F.explode(every).alias("question"))
     return rows.groupBy(F.lower("question").alias("_k"), "base_question").agg(F.max("question").alias("question")).select("question", "base_question")
 
 
+def typo(x: Column, seed: int = 42) -> Column:
+    """Two neighbouring letters swapped, at a place that the text's own hash gives."""
+    at = (F.pmod(F.xxhash64(F.lit(seed), x), F.greatest(F.length(x) - 1, F.lit(1))) + 1).cast("int")
+    return F.when(F.length(x) < 2, x).otherwise(F.concat(F.substring(x, F.lit(1), at - 1), F.substring(x, at + 1, F.lit(1)), F.substring(x, at, F.lit(1)), F.substring(x, at + 2, F.length(x))))
+
+
 def fake_value(name: Column, kind: Column, key: Column, seed: int = 42) -> Column:
     """A made-up value for a column, the same for the same key: by its name and role."""
     h = F.pmod(F.xxhash64(F.lit(seed), name, key), F.lit(1_000_000))

@@ -11,11 +11,13 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 from pyspark.sql import Window as W
+from pyspark.sql.functions import pandas_udf
 
 from tamarind.functions import text as T
 
@@ -220,6 +222,28 @@ def bm25(questions: DataFrame, question_id: str, question_tokens: str, docs: Dat
     return _last_rank(out, k) if k is not None else out.select("question_id", "id", "score")
 
 
+def embed(df: DataFrame, text: str, encode, out: str = "vector", batch: int = 32, prefix: str = "passage: ") -> DataFrame:
+    """df plus the unit vector of each text by `encode` (a function that makes an encoder of list[str] to a matrix).
+
+    The encoder is made once a task and called with `batch` texts at a time. Null texts have null vectors.
+    """
+    @pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = encode()
+        for s in parts:
+            made: list = [None] * len(s)
+            there = [i for i, t in enumerate(s) if t is not None]
+            for a in range(0, len(there), batch):
+                at = there[a : a + batch]
+                m = np.asarray(model([prefix + s.iloc[i] for i in at]), np.float32)
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+                for i, v in zip(at, m):
+                    made[i] = v.tolist()
+            yield pd.Series(made)
+
+    return df.withColumn(out, run(F.col(text)))
+
+
 def hybrid_search(questions: DataFrame, docs: DataFrame, examples: DataFrame | None = None, k: int = 10, vectors: DataFrame | None = None, example_vectors: DataFrame | None = None) -> DataFrame:
     """(question_id, rank, doc_id, score, score_semantic, score_bm25, score_keyword_boost, best_matching_example) of the k best documents.
 

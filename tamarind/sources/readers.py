@@ -145,6 +145,11 @@ def write_batch(df: DataFrame, folder: str, more: list[str] = []) -> None:  # no
     df.select(*[c for c in [*BATCH_FIELDS, *more] if c in df.columns]).write.mode("overwrite").json(folder)
 
 
+def write_json(df: DataFrame, folder: str) -> None:
+    """Processed questions, or anything else, as JSON lines."""
+    df.write.mode("overwrite").json(folder)
+
+
 def write_csv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
 

@@ -218,3 +218,39 @@ def test_corpus_learning(spark):
     assert {(r["stem"], tuple(r["variants"])) for r in corpus.stems(df, "t").collect()} == {("tài", ("tai", "tài")), ("khoản", ("khoan", "khoản"))}
     assert corpus.phrases(df, "t", 2, -10).first()["pair"] == "tài_khoản"
     assert corpus.stop_words(df.where("t <> ''"), "t", 0.6).count() == 1
+
+
+def test_mock_tables(spark):
+    from datetime import date
+
+    from tamarind.sources import mock
+
+    c, a, t = mock.customers(spark), mock.accounts(spark), mock.transactions(spark)
+    assert (c.count(), a.count(), t.count()) == (8, 13, 200) and a.join(c, "customer_no", "left_anti").count() == 3
+    assert t.where("trans_type = 'WITHDRAW' AND to_account_no <> ''").count() == 0 and t.where("trans_time < '2026-03-01' OR trans_time >= '2026-04-01'").count() == 0
+    staff = mock.employees(spark)
+    days = mock.attendance(spark, staff, date(2026, 1, 1), date(2026, 3, 24))
+    assert days.where("weekday(attendance_date) >= 5 OR (status IN ('ABSENT', 'REMOTE') AND check_in_time IS NOT NULL)").count() == 0
+    assert staff.join(mock.departments(spark), "department_id").count() == 50 and mock.leave_types(spark).count() == 5
+
+
+def test_self_leave_trial_embed(spark):
+    from datetime import date
+
+    import numpy as np
+
+    from tamarind.functions import entities as E
+
+    df = spark.createDataFrame([("phép của tôi", {"a": "1"}), ("phép của EMP2", {"employee_id": "EMP2"}), ("toi", {})], "q string, m map<string,string>")
+    got = [r[0] for r in df.select(E.with_self(F.col("m"), F.col("q"), "employee_id", "EMP1")).collect()]
+    assert got == [{"a": "1", "employee_id": "EMP1"}, {"employee_id": "EMP2"}, {}]
+    r = E.leave_request("Xin nghỉ phép năm từ 01/04/2026 đến 03/04/2026 vì việc nhà", date(2026, 3, 26))
+    assert r == {"leave_type_id": "AL", "start_date": "2026-04-01", "end_date": "2026-04-03", "reason": "việc nhà"}
+    assert not spec.trial("SELECT {start_date}, '{account_number}'").unfilled
+    v = search.embed(spark.createDataFrame([("ab",), (None,)], "t string"), "t", lambda: lambda xs: np.array([[len(x), 0.0] for x in xs])).collect()
+    assert v[0]["vector"] == [1.0, 0.0] and v[1]["vector"] is None
+
+
+def test_typos(spark):
+    got = spark.createDataFrame([("abcdef",), ("a",), ("",)], "t string").select(generate.typo(F.col("t"))).collect()
+    assert sorted(got[0][0]) == list("abcdef") and got[0][0] != "abcdef" and got[1][0] == "a" and got[2][0] == ""

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
@@ -191,18 +192,17 @@ def bm25(questions: DataFrame, question_id: str, question_tokens: str, docs: Dat
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             terms, names, weight, mean = shared.value
+            known = pa.array(list(terms), pa.string())
             best = _Best(k or 1, digits)
             for whole in batches:
                 for a in range(0, whole.num_rows, 512):
                     part = whole.slice(a, 512)
                     ids = part.column(0).to_numpy(zero_copy_only=False)
-                    tf, length = np.zeros((len(ids), len(terms))), np.zeros(len(ids))
-                    for i, ts in enumerate(part.column(1).to_pylist()):
-                        length[i] = len(ts)
-                        for t in ts:
-                            j = terms.get(t)
-                            if j is not None:
-                                tf[i, j] += 1
+                    length = np.diff(part.column(1).offsets.to_numpy()).astype(np.float64)
+                    at = pc.index_in(part.column(1).flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(len(ids)), length.astype(np.int64))
+                    hit = at >= 0
+                    tf = np.bincount(row[hit] * len(terms) + at[hit], minlength=len(ids) * len(terms)).reshape(len(ids), len(terms)).astype(np.float64)
                     score = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)[:, None])) @ weight
                     if k is None:
                         r, c = np.nonzero(score > 0)

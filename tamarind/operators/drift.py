@@ -13,6 +13,7 @@ import json
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,12 @@ MOST_PAIRS = 200_000
 _FLUSH = 200_000
 
 
+_KINDS = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object", type(None): ""}
+
+
 def json_type(v: object) -> str:
     """string, number, boolean, array or object; '' for null, which has no type."""
-    return "" if v is None else "boolean" if isinstance(v, bool) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object" if isinstance(v, dict) else "number"
+    return _KINDS[type(v)]
 
 
 def _parsed(raw: str | None) -> dict | None:
@@ -51,8 +55,10 @@ def _walk(obj: dict, maps: frozenset[str], into: dict[str, set[str]]) -> None:
     while stack:
         pre, o = stack.pop()
         for k, v in o.items():
-            path, kind = pre + k, json_type(v)
-            seen = into.setdefault(path, set())
+            path, kind = pre + k, _KINDS[type(v)]
+            seen = into.get(path)
+            if seen is None:
+                seen = into[path] = set()
             if kind:
                 seen.add(kind)
             if kind == "object" and k not in maps:
@@ -93,6 +99,7 @@ def file_schemas(fields: DataFrame) -> DataFrame:
     return per.groupBy("source", "file").agg(F.array_sort(F.collect_list(F.concat_ws("\t", "path", "types"))).alias("schema"))
 
 
+@lru_cache(50_000)
 def _grams(name: str) -> set[str]:
     words = "_".join(re.findall(r"[A-Z]?[a-z0-9]+|[A-Z]+|[^\W\d_]+", name)).lower()
     return {f"_{words}_"[i : i + 3] for i in range(len(words))} or {words}
@@ -100,9 +107,12 @@ def _grams(name: str) -> set[str]:
 
 def name_similarity(a: str, b: str) -> float:
     """Dice of the letter trigrams of the last step of two paths, case and style of writing aside."""
-    if a == b:
-        return 1.0
-    x, y = _grams(a.rpartition(".")[2]), _grams(b.rpartition(".")[2])
+    return 1.0 if a == b else _dice(a.rpartition(".")[2], b.rpartition(".")[2])
+
+
+@lru_cache(200_000)
+def _dice(a: str, b: str) -> float:
+    x, y = _grams(a), _grams(b)
     return 2 * len(x & y) / (len(x) + len(y))
 
 

@@ -53,6 +53,7 @@ class Tables:
     script: np.ndarray
     word: np.ndarray  # letter or digit
     lower: np.ndarray  # lower case of the base letter, d for đ
+    bare: np.ndarray  # the base letter in its own case, d for đ
     emoji: np.ndarray
     suspicious: np.ndarray
     pair_keys: np.ndarray
@@ -121,10 +122,12 @@ def tables() -> Tables:
         low = chr(base[cp]).lower()
         lower[cp] = ord(low[0]) if low else cp
     lower[ord("đ")] = lower[ord("Đ")] = ord("d")
+    bare = base.copy()
+    bare[ord("đ")], bare[ord("Đ")] = ord("d"), ord("D")
     suspicious |= mark | invisible | (plain != ident) | (script == LIKE) | (script[np.minimum(base, LIMIT - 1)] == LIKE)
     keys = np.array([k for k, _ in pairs], np.uint64)
     order = np.argsort(keys)
-    return Tables(base, parts_at, parts_n, np.array(parts, np.uint32), ccc, mark, invisible, plain, like, weak, script, word, lower, emoji, suspicious, keys[order], np.array([v for _, v in pairs], np.uint32)[order])
+    return Tables(base, parts_at, parts_n, np.array(parts, np.uint32), ccc, mark, invisible, plain, like, weak, script, word, lower, bare, emoji, suspicious, keys[order], np.array([v for _, v in pairs], np.uint32)[order])
 
 
 def get(table: np.ndarray, cps: np.ndarray, default: object = 0) -> np.ndarray:
@@ -397,8 +400,7 @@ def _lettered(b: np.ndarray) -> np.ndarray:
 
 
 def _without_accents(b: np.ndarray) -> np.ndarray:
-    b = mapped(tables().base, b)
-    return np.where(b == ord("đ"), np.uint32(ord("d")), np.where(b == ord("Đ"), np.uint32(ord("D")), b))
+    return mapped(tables().bare, b)
 
 
 def fold(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -464,3 +466,14 @@ def fold_shape(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return _without_accents(b), o, src
 
     return _apart(cps, off, _without_accents, whole)
+
+
+def shapes(cps: np.ndarray, off: np.ndarray) -> list[tuple[str, np.ndarray | None]]:
+    """fold_shape() of each row as a string, with its source places, or None where they are the string's own."""
+    whole = _without_accents(cps).tobytes().decode("utf-32-le")
+    out: list[tuple[str, np.ndarray | None]] = [(whole[a:b], None) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+    odd = np.flatnonzero(get(tables().suspicious, cps, False))
+    for r in np.unique(np.searchsorted(off, odd, side="right") - 1).tolist():
+        f, _, src = fold_shape(cps[off[r] : off[r + 1]], np.array([0, off[r + 1] - off[r]]))
+        out[r] = (f.tobytes().decode("utf-32-le"), src)
+    return out

@@ -12,9 +12,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +100,7 @@ def lexicon(words: DataFrame, least: int = LEAST_NAMES) -> tuple[dict[str, int],
     return accented, folded
 
 
+@lru_cache(100_000)
 def _fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.lower().replace("đ", "d")) if not unicodedata.combining(c))
 
@@ -308,6 +308,9 @@ def _scan_text(text: str, original, accented: dict[str, int], folded: dict[str,
     clear.sort()
     out = []
     for k, (a, b, family, group, evidence) in enumerate(clear):
+        if family == "email":  # its form is enough
+            out.append((a, b, family, group, evidence, "", "", "", ""))
+            continue
         before = (clear[k - 1][1], MARKS[clear[k - 1][2]]) if k and clear[k - 1][1] <= a else None
         after = (clear[k + 1][0], MARKS[clear[k + 1][2]]) if k + 1 < len(clear) else None
         c = _left(text, a, before)
@@ -341,22 +344,19 @@ def candidates(df: DataFrame, doc_id: str, text: str, names: tuple[dict[str, int
         for whole in batches:
             for b in C.pieces(whole, 1):
                 docs, stored = b.column(0).to_pylist(), b.column(1).to_pylist()
-                cps, off = C.to_codepoints(b.column(1))
-                f, foff, src = C.fold_shape(cps, off)
-                flat = C.to_arrow(f, foff).to_pylist()
                 rows = []
-                for r, (doc, own, shape) in enumerate(zip(docs, stored, flat)):
+                for doc, own, (shape, place) in zip(docs, stored, C.shapes(*C.to_codepoints(b.column(1)))):
                     if doc is None or not shape:
                         continue
-                    place = src[foff[r] : foff[r + 1]] - off[r]
-                    same = len(shape) == len(own)
-                    if same:
+                    if place is None:
                         original = lambda x, y, own=own: own[x:y].lower()
                     else:
                         original = lambda x, y, own=own, place=place: unicodedata.normalize("NFC", own[place[x] : (place[y] if y < len(place) else len(own))]).strip().lower()
                     for x, y, *rest in _scan_text(shape, original, accented, folded, starts):
-                        end = int(place[y]) if y < len(place) else len(own)
-                        rows.append((doc, int(place[x]) + 1, end + 1, *rest))
+                        if place is None:
+                            rows.append((doc, x + 1, y + 1, *rest))
+                        else:
+                            rows.append((doc, int(place[x]) + 1, (int(place[y]) if y < len(place) else len(own)) + 1, *rest))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 

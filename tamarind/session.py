@@ -22,3 +22,17 @@ def session(master: str | None = None, app: str = "tamarind", **conf: str) -> Sp
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this library from where the driver has it, whatever folder the driver was started in.
+
+    Where executors see other files, the library has to be installed there or shipped with --py-files.
+    """
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])

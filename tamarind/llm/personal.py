@@ -35,6 +35,7 @@ LEAST, LEAST_SEED = 0.7, 0.25
 # Words that say what follows, in folded form.
 TITLES = frozenset("ong ba anh chi em co chu bac cau di ngai mr ms mrs miss dr".split())
 _TITLE_FORMS = frozenset("ông bà anh chị em cô chú bác cậu dì ngài mr ms mrs miss dr".split())
+ABBREVIATED = frozenset("mr ms mrs dr ths ts".split())
 PHONE_WORDS = frozenset("sdt dt phone tel mobile zalo alo dien thoai goi call so nhan lai so".split())
 ID_WORDS = frozenset("cccd cmnd can cuoc dinh danh passport chieu id".split())
 OTHER_NUMBER_WORDS = frozenset("stk khoan account statement job ghi record lo soat batch gd giao dich transaction ma phieu ticket mau form don emp nv hotline dai txn ref".split())
@@ -149,7 +150,7 @@ def _number(raw: str) -> tuple[str, int] | None:
         return None
     d = "".join(c for c in raw if c.isdigit())
     separated = any(c in " .-()" for c in raw.strip())
-    if re.fullmatch(r"1[89]00\d{2,6}", d):
+    if re.fullmatch(r"1[89]00(?:\d{4}|\d{6})", d):
         return ("d10", -1)
     if raw[0] == "+" or raw.startswith("(+") or d.startswith("0084"):
         national = d[4:] if d.startswith("0084") else d[2:] if d.startswith("84") else d
@@ -172,12 +173,13 @@ def _title(text: str, at: int, original) -> bool:
     end = at - 1
     if end < 1 or text[end] not in " .":
         return False
-    if text[end] == " " and text[end - 1] == ".":
+    dotted = text[end] == " " and text[end - 1] == "."
+    if dotted:
         end -= 1
     start = end
     while start > 0 and end - start <= 5 and text[start - 1].isalpha():
         start -= 1
-    return text[start:end].lower() in TITLES and (start == 0 or not text[start - 1].isalnum()) and original(start, end) in _TITLE_FORMS | TITLES
+    return text[start:end].lower() in (ABBREVIATED if dotted else TITLES) and (start == 0 or not text[start - 1].isalnum()) and original(start, end) in _TITLE_FORMS | TITLES
 
 
 def _names(text: str, original, accented: dict[str, int], folded: dict[str, int], starts: re.Pattern, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:

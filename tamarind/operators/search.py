@@ -29,6 +29,8 @@ HYBRID = (0.7, 0.2, 0.1)
 BLOCK, WORD_BLOCK = 10_000, 1_000
 #: Rows scored against a block at once.
 ROWS = 256
+#: Maxima by question and group that a task holds before it gives them out.
+CELLS = 4_000_000
 
 
 class _Best:
@@ -155,6 +157,61 @@ def max_dot_by_group(questions: DataFrame, question_id: str, question_vec: str,
     return _union(parts).groupBy("question_id", F.col("g").alias(group)).agg(F.max("s").alias("score_max_example"))
 
 
+def best_cosine_by_group(questions: DataFrame, question_id: str, question_vec: str, rows: DataFrame, group: str, row_id: str, row_vec: str, digits: int = 6) -> DataFrame:
+    """(question_id, group, score, id): for each question and every group, the greatest cosine of its rows and the row that has it (the smallest of equals).
+
+    All rows are scored; tasks keep one maximum for each question and group and give theirs out early when they hold
+    more than CELLS of them. Null vectors, groups and ids, and vectors of another length than the question's, are left
+    out; a zero vector has cosine 0. Groups and ids are whole numbers.
+    """
+    parts = []
+    for block in _blocks(questions.where(F.col(question_vec).isNotNull()), question_id, BLOCK):
+        shared = rows.sparkSession.sparkContext.broadcast(_by_length(block.select(question_id, question_vec).collect(), True))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {size: [] for size in shared.value}
+            cells = dict.fromkeys(held, 0)
+            for keys, size, m in _vectors(batches, set(shared.value)):
+                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                score = np.round(m @ shared.value[size][1].T, digits)
+                held[size].append(_best_of_groups(*[c.to_numpy(zero_copy_only=False) for c in keys.flatten()], score))
+                cells[size] += held[size][-1][2].size
+                if cells[size] > CELLS:
+                    held[size] = [_best_of_groups(*map(np.concatenate, zip(*held[size])))]
+                    cells[size] = held[size][0][2].size
+                    if cells[size] > CELLS // 2:
+                        yield from _group_batches(shared.value[size][0], *held[size][0])
+                        held[size], cells[size] = [], 0
+            for size, kept in held.items():
+                if kept:
+                    yield from _group_batches(shared.value[size][0], *_best_of_groups(*map(np.concatenate, zip(*kept))))
+
+        keyed = rows.where(F.col(group).isNotNull() & F.col(row_id).isNotNull())
+        parts.append(keyed.select(F.struct(F.col(group).cast("long").alias("g"), F.col(row_id).cast("long").alias("i")), row_vec).mapInArrow(run, "question_id long, g long, id long, score double"))
+    best = _union(parts).groupBy("question_id", F.col("g").alias(group)).agg(F.max(F.struct("score", (-F.col("id")).alias("i"))).alias("b"))
+    return best.select("question_id", group, F.col("b.score").alias("score"), (-F.col("b.i")).alias("id"))
+
+
+def _best_of_groups(groups: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row a group out of score (rows by questions); ids are by row, or by row and question."""
+    if ids.ndim == 1:
+        ids = np.repeat(ids[:, None], score.shape[1], axis=1)
+    order = np.argsort(groups, kind="stable")
+    groups, ids, score = groups[order], ids[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    top = np.maximum.reduceat(score, first, axis=0)
+    is_top = score == np.repeat(top, np.diff(np.append(first, len(groups))), axis=0)
+    return groups[first], np.minimum.reduceat(np.where(is_top, ids, np.iinfo(np.int64).max), first, axis=0), top
+
+
+def _group_batches(names: list, groups: np.ndarray, ids: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = max(1, 100_000 // len(names))
+    for a in range(0, len(groups), step):
+        g, i, s = groups[a : a + step], ids[a : a + step], score[a : a + step]
+        cols = [np.tile(np.array(names, np.int64), len(g)), np.repeat(g, len(names)), i.ravel(), s.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["question_id", "g", "id", "score"])
+
+
 def corpus_stats(docs: DataFrame, tokens: str) -> tuple[int, float]:
     """(documents, mean length in tokens)."""
     r = docs.agg(F.count(F.lit(1)), F.avg(F.size(tokens))).first()

@@ -165,14 +165,21 @@ h AS (SELECT question_id, id, round(0.7 * coalesce(list_cosine_similarity(CAST(q
 FROM b LEFT JOIN embeddings qe ON qe.vec_id = question_id LEFT JOIN embeddings de ON de.vec_id = id)
 SELECT question_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM h) WHERE rank <= 10""")
 def hybrid_topk(spark, d):
-    """Semantic and lexical scores of the stated questions, fused; a document without a vector has semantic score 0."""
-    scores = _bm25(spark, d, None, "item_id % 100 = 0").withColumn("normal", search.by_max("score", ["question_id"]))
-    e = table(spark, d, "embeddings")
-    qv = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("qe"))
-    joined = scores.join(qv, "question_id", "left").join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("de")), "id", "left")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cosine = F.coalesce(F.try_divide(dot(F.col("qe"), F.col("de")), F.sqrt(dot(F.col("qe"), F.col("qe"))) * F.sqrt(dot(F.col("de"), F.col("de")))), F.lit(0.0))
-    s = joined.select("question_id", "id", F.round(search.hybrid(cosine, F.col("normal"), F.lit(0.0)), 4).alias("score"))
+    """Semantic and lexical scores of all documents for the stated questions, fused.
+
+    Every document is ranked: one without a vector has semantic score 0, one that shares no word lexical score 0.
+    """
+    asked = table(spark, d, "eval_item").where("item_id % 100 = 0").select(F.col("item_id").alias("question_id")).distinct()
+    lexical = _bm25(spark, d, None, "item_id % 100 = 0").withColumn("normal", search.by_max("score", ["question_id"])).select("question_id", "id", "normal")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    qv = asked.join(e.withColumnRenamed("vec_id", "question_id"), "question_id")
+    every = docs(spark, d).select("doc_id").distinct()
+    dv = every.join(e.withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    near = search.best_cosine_by_group(qv, "question_id", "embedding", dv, "doc_id", "doc_id", "embedding", 12).select("question_id", F.col("doc_id").alias("id"), F.col("score").alias("cosine"))
+    pairs = every.select(F.col("doc_id").alias("id")).crossJoin(F.broadcast(asked))
+    joined = pairs.join(lexical, ["question_id", "id"], "left").join(near, ["question_id", "id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    s = joined.select("question_id", "id", F.round(search.hybrid(zero("cosine"), zero("normal"), F.lit(0.0)), 4).alias("score"))
     w = W.partitionBy("question_id").orderBy(F.desc("score"), "id")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("question_id", "rank", "id", "score")
 

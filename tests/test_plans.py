@@ -254,3 +254,15 @@ def test_self_leave_trial_embed(spark):
 def test_typos(spark):
     got = spark.createDataFrame([("abcdef",), ("a",), ("",)], "t string").select(generate.typo(F.col("t"))).collect()
     assert sorted(got[0][0]) == list("abcdef") and got[0][0] != "abcdef" and got[1][0] == "a" and got[2][0] == ""
+
+
+def test_hybrid_topk_ranks_every_document(spark, tmp_path):
+    from tamarind.queries import retrieval
+
+    spark.createDataFrame([(100, "mở tài khoản")], "item_id long, text string").write.parquet(f"{tmp_path}/eval_item.parquet")
+    texts = [(1, "tài khoản"), (2, "nghỉ phép"), (3, "lương"), (4, None), (5, "đóng thẻ")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (5, [-1.0, 0.0]), (9, [1.0, 0.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r["rank"], r["id"], r["score"]) for r in retrieval.hybrid_topk(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == [(1, 2, 0.7), (2, 1, 0.2), (3, 3, 0.0), (4, 4, 0.0), (5, 5, -0.7)]

@@ -308,8 +308,9 @@ def hybrid_search(questions: DataFrame, docs: DataFrame, examples: DataFrame | N
     keyword. examples: example_id, doc_id, example_text. vectors: doc_id, vector of the documents' search texts;
     example_vectors: example_id, doc_id, vector. A document's token counts once for itself and once for each example
     that has it; lengths hold the examples, the mean length and document frequencies don't. Without vectors the
-    semantic score is 0. The candidates are the best documents of each part, k of the semantic ones and all that
-    share a word; equal scores go to the smaller doc_id.
+    semantic score is 0. The semantic score has the greatest cosine of all examples of a document and the cosine of its
+    own vector. The candidates are all documents that share a word or have a vector, their own or an example's; equal
+    scores go to the smaller doc_id.
     """
     has = lambda c: F.coalesce(F.col(c), F.lit("")) if c in docs.columns else F.lit("")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_distinct(T.words(T.fold(F.concat_ws(" ", F.coalesce("document", F.lit("")), has("description"), has("keyword"))))).alias("own"), T.parse_keywords(has("keyword")).alias("keywords"))
@@ -325,10 +326,8 @@ def hybrid_search(questions: DataFrame, docs: DataFrame, examples: DataFrame | N
         if df is None or "vector" not in questions.columns:
             continue
         is_example = share == SEMANTIC_EXAMPLE
-        key = "example_id" if is_example else "doc_id"
-        near = top_k_cosine(questions, "question_id", "vector", df, key, "vector", max(k, 50))
-        near = near.join(df.select(F.col(key).alias("id"), "doc_id"), "id") if is_example else near.withColumn("doc_id", F.col("id"))
-        best = max_similarity(near, ["question_id", "doc_id"], "score", "id").withColumnRenamed("best_matching_example", "near_id")
+        best = best_cosine_by_group(questions, "question_id", "vector", df, "doc_id", "example_id" if is_example else "doc_id", "vector")
+        best = best.select("question_id", "doc_id", F.col("score").alias("score_max_example"), F.col("id").alias("near_id"))
         scores = scores.join(best, ["question_id", "doc_id"], "full").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)) + share * F.coalesce("score_max_example", F.lit(0.0)))
         scores = scores.withColumn("example_id", F.coalesce("near_id", "example_id") if is_example else F.col("example_id")).drop("score_max_example", "near_id")
     full = scores.join(own.select("doc_id", "keywords"), "doc_id").join(asked.select("question_id", "question"), "question_id")

@@ -199,6 +199,28 @@ def kb_search(spark, d):
     return found.select("question_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
+_KB_LEXICAL = ORACLE["kb_search"].split(", r AS (SELECT *, row_number()")[0]
+
+
+@query(_KB_LEXICAL + """, a AS (SELECT DISTINCT item_id AS question_id, embedding FROM eval_item JOIN embeddings ON vec_id = item_id WHERE item_id % 100 = 0),
+x AS (SELECT question_id, doc_id, max(round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6)) AS c FROM a, e JOIN embeddings v ON v.vec_id = e.example_id WHERE doc_id IN (SELECT doc_id FROM dt) GROUP BY ALL),
+o AS (SELECT question_id, doc_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS c FROM a, dt JOIN embeddings v ON v.vec_id = dt.doc_id),
+n AS (SELECT question_id, doc_id, s / (SELECT max(s) FROM b m WHERE m.question_id = b.question_id) AS n FROM b WHERE s > 0),
+f AS (SELECT question_id, doc_id, round(0.7 * (0.7 * coalesce(x.c, 0) + 0.3 * coalesce(o.c, 0)) + 0.2 * coalesce(n, 0), 6) AS f FROM n FULL JOIN x USING (question_id, doc_id) FULL JOIN o USING (question_id, doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY f DESC, doc_id) AS rank FROM f)
+SELECT question_id, CAST(rank AS INTEGER) AS rank, doc_id, round(f, 4) AS score FROM r WHERE rank <= 5""")
+def kb_search_vectors(spark, d):
+    """The whole search with vectors of the questions, the documents and the examples."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    q = table(spark, d, "eval_item").where("item_id % 100 = 0").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    q = q.join(v.withColumnRenamed("vec_id", "question_id"), "question_id", "left")
+    e = table(spark, d, "examples").select("example_id", "doc_id", "example_text").distinct()
+    own = docs(spark, d).select("doc_id", F.col("text").alias("document"))
+    said = e.select("example_id", "doc_id").join(v.withColumnRenamed("vec_id", "example_id"), "example_id")
+    found = search.hybrid_search(q, own, e, 5, own.select("doc_id").join(v.withColumnRenamed("vec_id", "doc_id"), "doc_id"), said)
+    return found.select("question_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
 @query(f"""WITH g AS (SELECT id, list_distinct({words_sql(fold_sql('question'))}) AS t FROM gold_test_set), o AS (SELECT min(example_id) AS o, t FROM (SELECT example_id, list_sort(list_distinct({words_sql(fold_sql('example_text'))})) AS t FROM examples) WHERE len(t) > 0 GROUP BY t),
 p AS (SELECT id, o, len(list_intersect(g.t, o.t)) / (len(g.t) + len(o.t) - len(list_intersect(g.t, o.t))) AS s FROM g, o WHERE len(g.t) > 0),
 b AS (SELECT id, count(*) AS n_links, max(s) AS s, arg_min(o, struct_pack(a := -s, b := o)) AS best_id FROM p WHERE s >= 0.8 - 1e-9 GROUP BY id)

@@ -266,3 +266,24 @@ def test_hybrid_topk_ranks_every_document(spark, tmp_path):
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = [(r["rank"], r["id"], r["score"]) for r in retrieval.hybrid_topk(spark, str(tmp_path)).orderBy("rank").collect()]
     assert got == [(1, 2, 0.7), (2, 1, 0.2), (3, 3, 0.0), (4, 4, 0.0), (5, 5, -0.7)]
+
+
+def test_hybrid_search_scores_every_example(spark):
+    q = spark.createDataFrame([(1, "xin", [1.0, 0.0])], "question_id long, question string, vector array<float>")
+    docs = spark.createDataFrame([(1, "một"), (2, "hai"), (3, "ba")], "doc_id long, document string")
+    near = [(i, 1, [1.0, 0.001 * i]) for i in range(60)]  # one document's examples fill the 50 nearest places
+    ev = spark.createDataFrame([*near, (70, 2, [0.8, 0.6]), (71, 2, [0.8, 0.6]), (72, 3, None)], "example_id long, doc_id long, vector array<float>")
+    vec = spark.createDataFrame([(d, [1.0, 0.0]) for d in range(100, 160)] + [(3, [0.6, 0.8])], "doc_id long, vector array<float>")
+    ex = ev.selectExpr("example_id", "doc_id", "cast(example_id as string) AS example_text")
+    got = [(r["doc_id"], round(r["score_semantic"], 6), r["best_matching_example"]) for r in search.hybrid_search(q, docs, ex, 5, vec, ev).orderBy("rank").collect()]
+    assert got == [(1, 0.7, "0"), (2, 0.56, "70"), (3, 0.18, None)]
+
+
+def test_best_cosine_by_group_gives_out_early(spark, monkeypatch):
+    monkeypatch.setattr(search, "CELLS", 200)
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "q long, v array<float>")
+    rows = spark.createDataFrame([(i % 40, i, [float(i % 7), 1.0]) for i in range(2000)], "g long, i long, v array<float>").coalesce(1)
+    whole = sorted(map(tuple, search.best_cosine_by_group(q, "q", "v", rows, "g", "i", "v").collect()))
+    want = sorted(map(tuple, search.max_dot_by_group(q, "q", "v", rows.selectExpr("g", "transform(v, x -> cast(x / sqrt(v[0] * v[0] + 1) as float)) AS v"), "g", "v", 5).collect()))
+    assert len(whole) == 80 and [(q, g, round(s, 5)) for q, g, s, _ in whole] == want
+    assert all(i == min(j for j in range(2000) if j % 40 == g and j % 7 == i % 7) for _, g, _, i in whole)

@@ -9,6 +9,7 @@ with digits) are there.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ ITEM_STRIDE = 4
 RANK, EXTRA = 40, 8
 #: Least cosine of a candidate; of a paraphrase, with the share of RUN words its subsequence must have.
 NEAR, PARAPHRASE, LEAST_LCS = 0.65, 0.85, 0.75
+#: Words of items that a passage must have to be a paraphrase.
+LEAST_WORDS = math.ceil(LEAST_LCS * RUN)
 #: Words of evaluation text in one shard: bounds the vocabulary, its matrices and the broadcast.
 SHARD_WORDS = 60_000
 _CHUNK_WORDS = 20_000
@@ -79,13 +82,17 @@ def items_of(ids: list[int], texts: list[str]) -> Items:
     return Items(ids, vocabulary, w.digit[first], words, np.array(item, np.int64), np.array(start, np.int64), np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64))
 
 
-def _segments(items):
-    """Documents to their stretches of at least RUN words that all occur in items, and the documents' word counts."""
+def _segments(items, paraphrases: bool):
+    """Documents to their stretches of at least RUN words that all occur in items, and the documents' word counts.
+
+    For paraphrases also, as `mixed`, the passages outside those stretches that have LEAST_WORDS words of items, end to
+    end where they follow each other; a word that no item has is the place after the vocabulary.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = items.value.vocabulary
         df, docs = np.zeros(len(vocabulary) + 1, np.int64), 0
-        names = ["doc_id", "words", "df"]
+        names = ["doc_id", "words", "df", "mixed"]
         for whole in batches:
             for b in C.pieces(whole, 1):
                 docs += b.num_rows
@@ -103,16 +110,34 @@ def _segments(items):
                 off = np.concatenate([[0], np.cumsum(length[good])])
                 doc = b.column(0).take(pa.array(w.row[opens[good]]))
                 lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(at[inside].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([doc, lists, pa.nulls(len(doc), pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([doc, lists, pa.nulls(len(doc), pa.list_(pa.int64())), pa.array([False] * len(doc), pa.bool_())], names)
+                if paraphrases:
+                    start, end = _mixed(w.row, known, inside)
+                    length = end - start
+                    off = np.concatenate([[0], np.cumsum(length)])
+                    places = np.repeat(start - off[:-1], length) + np.arange(off[-1])
+                    lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.where(known, at, len(vocabulary))[places].astype(np.int32)))
+                    doc = b.column(0).take(pa.array(w.row[start]))
+                    yield pa.RecordBatch.from_arrays([doc, lists, pa.nulls(len(doc), pa.list_(pa.int64())), pa.array([True] * len(doc), pa.bool_())], names)
         df[-1] = docs
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([df.tolist()], pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.array([df.tolist()], pa.list_(pa.int64())), pa.array([False])], names)
 
     return run
 
 
+def _mixed(row: np.ndarray, known: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of document passages with LEAST_WORDS known words that aren't wholly inside a stretch."""
+    opens = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    seg, start, end = _windows(np.diff(np.append(opens, len(row))))
+    n_known, n_inside = [np.concatenate([[0], np.cumsum(x)]) for x in (known, inside)]
+    kept = np.flatnonzero((n_known[end] - n_known[start] >= LEAST_WORDS) & (n_inside[end] - n_inside[start] < end - start))
+    follows = (np.diff(kept) == 1) & (np.diff(seg[kept]) == 0)
+    return start[kept[np.concatenate([[True], ~follows])[: len(kept)]]], end[kept[np.concatenate([~follows, [True]])[: len(kept)]]]
+
+
 def _windows(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, start, end) of the passages of segments laid end to end."""
-    n = (length - RUN) // STRIDE + 1
+    n = np.maximum(length - RUN, 0) // STRIDE + 1
     seg = np.repeat(np.arange(len(length)), n)
     off = np.concatenate([[0], np.cumsum(length)])
     start = off[seg] + STRIDE * (np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n))
@@ -217,7 +242,7 @@ def _retrieve(shared, paraphrases: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf, space = shared.value
-        weighted = space * idf[:, None]
+        weighted = np.concatenate([space * idf[:, None], np.zeros((1, space.shape[1]))])  # the last: a word no item has
         words = np.concatenate([items.words[i][s : s + RUN] for i, s in zip(items.passage_item, items.passage_start)])
         at = np.arange(len(items.passage_item)) * RUN
         wanted = _unit(_sums(weighted[words], at, at + RUN)).T.copy()
@@ -270,8 +295,10 @@ def leaks(docs: DataFrame, doc_id: str, text: str, evals: DataFrame, item_id: st
     near as PARAPHRASE, shares a subsequence of LEAST_LCS of its words and has the answers: all words with digits
     of the item's passage. Words are compared without case, accents and disguises. Null or
     wordless texts, and items shorter than RUN words, match nothing; null ids are left out. Documents are read once
-    and never shuffled: what follows works on the stretches of RUN and more words that all occur in items,
-    outside which no passage can lie. Items are taken in shards of about SHARD_WORDS words, each fitted and sought alone.
+    and never shuffled: what follows works on the stretches of RUN and more words that all occur in items, outside
+    which no verbatim run can lie, and for paraphrases besides on all passages with LEAST_WORDS words of items; there
+    other words keep their place, have no weight and match nothing. The latent space is fitted to the stretches and
+    the items. Items are taken in shards of about SHARD_WORDS words, each fitted and sought alone.
     """
     spark = docs.sparkSession
     ev = evals.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).distinct()
@@ -284,14 +311,14 @@ def leaks(docs: DataFrame, doc_id: str, text: str, evals: DataFrame, item_id: st
         items = items_of([r["id"] for r in got], [r["text"] for r in got])
         if not len(items.passage_item):
             continue
-        kept = cut(rows.mapInArrow(_segments(spark.sparkContext.broadcast(items)), "doc_id long, words array<int>, df array<long>"))
+        kept = cut(rows.mapInArrow(_segments(spark.sparkContext.broadcast(items), paraphrases), "doc_id long, words array<int>, df array<long>, mixed boolean"))
         counts = kept.where("df IS NOT NULL").select(F.posexplode("df").alias("w", "n")).groupBy("w").agg(F.sum("n").alias("n")).collect()
         df = np.zeros(len(items.vocabulary) + 1)
         for r in counts:
             df[r["w"]] = r["n"]
         idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-        segments = kept.where("doc_id IS NOT NULL").select("doc_id", "words")
-        space = latent_space(segments, items, idf)
+        segments = kept.where("doc_id IS NOT NULL").select("doc_id", "words", "mixed")
+        space = latent_space(segments.where("NOT mixed"), items, idf)
         part = segments.mapInArrow(_retrieve(spark.sparkContext.broadcast((items, idf, space)), paraphrases), _FOUND)
         found = part if found is None else found.unionByName(part)
     if found is None:

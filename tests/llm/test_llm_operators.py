@@ -201,6 +201,40 @@ def test_paraphrases(spark):
     assert len(r) == 1 and r[0]["kind"] in ("verbatim", "paraphrase") and r[0]["lcs"] >= 9
 
 
+def test_paraphrases_with_words_no_item_has(spark):
+    item = "khach hang mo tai khoan 12345 tai chi nhanh ha noi ngay 7 thang nam"
+    words = item.split()
+    swapped = " ".join(["la", "le", *words[:5], "zzz", *words[6:9], "yyy", *words[10:], "lu"])
+    swapped = swapped.replace("zzz", "12345 zzz")  # the answer stays, a foreign word comes in
+    docs = [(1, swapped), (2, " ".join(words[:5] + ["xxx"] + words[6:12])), (3, "khong co gi " * 9), (4, " ".join(words[:10])), (5, ""), (6, None)]
+    got = leakage.leaks(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame([(7, item)], "i long, t string"), "i", "t")
+    assert sorted((r["doc_id"], r["item_id"], r["kind"]) for r in got.collect()) == [(1, 7, "paraphrase"), (4, 7, "paraphrase")]
+    only = leakage.leaks(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame([(7, item)], "i long, t string"), "i", "t", False)
+    assert only.count() == 0
+
+
+def test_mixed_passages_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        length = rng.integers(1, 60, rng.integers(1, 5))
+        row, known = np.repeat(np.arange(len(length)), length), rng.random(length.sum()) < rng.choice([0.5, 0.9])
+        inside = np.zeros(len(row), bool)
+        for a in range(len(row) - leakage.RUN + 1):
+            if known[a : a + leakage.RUN].all() and row[a] == row[a + leakage.RUN - 1]:
+                inside[a : a + leakage.RUN] = True
+        want, off = set(), 0
+        for n in length:
+            for a in range(off, off + max(n - leakage.RUN, 0) + 1, leakage.STRIDE):
+                z = min(a + leakage.SPAN, off + n)
+                if known[a:z].sum() >= 9 and not inside[a:z].all():
+                    want.add((a, z))
+            off += n
+        start, end = leakage._mixed(row, known, inside)
+        seg, a, z = leakage._windows(end - start)
+        shift = start[seg] - np.concatenate([[0], np.cumsum(end - start)])[seg]
+        assert len(seg) == len(want) and set(zip((a + shift).tolist(), (z + shift).tolist())) == want
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(100):

@@ -250,12 +250,13 @@ def changes(df: DataFrame, source: str, file: str, raw: str, maps: frozenset[str
 def canonical_names(pairs: DataFrame, fields: DataFrame, least_support: int = 2) -> dict[str, str]:
     """Field name -> the name its column has in the unified table.
 
-    Correspondences seen in at least `least_support` files link two names unless both occur in one file, which
-    two names of one thing don't; the name in the most files names its component. Everything here is a
-    function of field names, whose number is checked against MOST_PAIRS.
+    Exact renames (no other field of the type comes or goes), however few, and other correspondences seen in at least
+    `least_support` files, in either direction, link two names unless both occur in one file, which
+    two names of one thing don't; exact ones link first. The name in the most files names its component. Everything
+    here is a function of field names, whose number is checked against MOST_PAIRS.
     """
-    links = _per_pair(pairs, lambda o, n: [(p, q) for p, q, *_ in correspondences(o, n)], "source string, file string, p string, q string", ["source", "file", "p", "q"])
-    counted = links.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_support)
+    links = _per_pair(pairs, lambda o, n: [(min(p, q), max(p, q), int(x == y == 1)) for p, q, _, x, y in correspondences(o, n)], "source string, file string, p string, q string, exact int", ["source", "file", "p", "q", "exact"])
+    counted = links.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"), F.max("exact").alias("exact")).where((F.col("n") >= least_support) | (F.col("exact") == 1))
     rows = counted.limit(MOST_PAIRS + 1).collect()
     seen = fields.select("source", "file", "path").distinct().groupBy("path").agg(F.count(F.lit(1)).alias("n")).limit(MOST_PAIRS + 1).collect()
     if max(len(rows), len(seen)) > MOST_PAIRS:
@@ -274,7 +275,7 @@ def canonical_names(pairs: DataFrame, fields: DataFrame, least_support: int = 2)
             x = up[x]
         return x
 
-    for r in sorted(rows, key=lambda r: (-r["n"], r["p"], r["q"])):
+    for r in sorted(rows, key=lambda r: (-r["exact"], -r["n"], r["p"], r["q"])):
         if (r["p"], r["q"]) in both or (r["q"], r["p"]) in both or r["p"] not in up or r["q"] not in up:
             continue
         x, y = root(r["p"]), root(r["q"])

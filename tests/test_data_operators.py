@@ -92,6 +92,19 @@ def test_unified_table(spark):
     assert sum(v for k, v in got[("a", "4")].items() if isinstance(v, float)) == 4.5
 
 
+def test_one_exact_rename_joins_columns(spark):
+    files = {("r", f): [json.dumps({k: v, "k": 1})] for f, k, v in (("1", "error", "x"), ("2", "err", "y"), ("3", "err", "z"))}
+    rows = drift.unify(batch(spark, files), "runner", "file", "n", "raw").collect()
+    assert "error" not in rows[0].asDict() and sorted(r["err"] for r in rows) == ["x", "y", "z"]
+
+
+def test_support_counts_both_directions(spark):
+    # Two strings go and two come each time: no exact rename, but the same correspondences forth and back.
+    old, new = {"sql_text": "s", "user_name": "u", "k": 1}, {"sqlText": "s", "userName": "u", "k": 1}
+    rows = drift.unify(batch(spark, {("r", str(i)): [json.dumps(x)] for i, x in enumerate((old, new, old))}), "runner", "file", "n", "raw").collect()
+    assert all(r["sql_text"] == "s" and r["user_name"] == "u" for r in rows) and "sqlText" not in rows[0].asDict()
+
+
 def test_previous_in_a_hot_group(spark):
     from tamarind.plans.neighbours import with_previous
 

@@ -251,8 +251,8 @@ def canonical_names(pairs: DataFrame, fields: DataFrame, least_support: int = 2)
     """Field name -> the name its column has in the unified table.
 
     Exact renames (no other field of the type comes or goes), however few, and other correspondences seen in at least
-    `least_support` files, in either direction, link two names unless both occur in one file, which
-    two names of one thing don't; exact ones link first. The name in the most files names its component. Everything
+    `least_support` files, in either direction, link two names unless names of their components occur in one file,
+    which two names of one thing don't; exact ones link first. The name in the most files names its component. Everything
     here is a function of field names, whose number is checked against MOST_PAIRS.
     """
     links = _per_pair(pairs, lambda o, n: [(min(p, q), max(p, q), int(x == y == 1)) for p, q, _, x, y in correspondences(o, n)], "source string, file string, p string, q string, exact int", ["source", "file", "p", "q", "exact"])
@@ -262,27 +262,38 @@ def canonical_names(pairs: DataFrame, fields: DataFrame, least_support: int = 2)
     if max(len(rows), len(seen)) > MOST_PAIRS:
         raise ValueError(f"more than {MOST_PAIRS} distinct field names or pairs: their keys are data; name those objects in `maps`")
     spark = pairs.sparkSession
-    both = set()
-    if rows:
-        wanted = spark.createDataFrame([(r["p"], r["q"]) for r in rows], "p string, q string")
-        f = fields.select("source", "file", "path").distinct()
-        together = f.join(F.broadcast(wanted), f.path == wanted.p).select("source", "file", "p", "q").join(f.withColumnRenamed("path", "q"), ["source", "file", "q"])
-        both = {(r["p"], r["q"]) for r in together.select("p", "q").distinct().collect()}
-    uses, up = {r["path"]: r["n"] for r in seen}, {r["path"]: r["path"] for r in seen}
+    near: dict[str, str] = {}
 
-    def root(x: str) -> str:
+    def root(x: str, up: dict[str, str]) -> str:
         while up[x] != x:
             x = up[x]
         return x
 
+    for r in rows:  # only names that links connect can come into one column
+        near.setdefault(r["p"], r["p"]), near.setdefault(r["q"], r["q"])
+        near[root(r["q"], near)] = root(r["p"], near)
+    both: dict[str, set[str]] = defaultdict(set)
+    if rows:
+        wanted = F.broadcast(spark.createDataFrame([(p, root(p, near)) for p in near], "path string, part string"))
+        f = fields.select("source", "file", "path").distinct().join(wanted, "path")
+        together = f.join(f.withColumnRenamed("path", "other"), ["source", "file", "part"]).where("path < other").select("path", "other").distinct()
+        found = together.limit(MOST_PAIRS + 1).collect()
+        if len(found) > MOST_PAIRS:
+            raise ValueError(f"more than {MOST_PAIRS} linked field names occur together: their keys are data; name those objects in `maps`")
+        for r in found:
+            both[r["path"]].add(r["other"])
+            both[r["other"]].add(r["path"])
+    uses, up = {r["path"]: r["n"] for r in seen}, {r["path"]: r["path"] for r in seen}
+    members = {p: {p} for p in up}
     for r in sorted(rows, key=lambda r: (-r["exact"], -r["n"], r["p"], r["q"])):
-        if (r["p"], r["q"]) in both or (r["q"], r["p"]) in both or r["p"] not in up or r["q"] not in up:
+        if r["p"] not in up or r["q"] not in up:
             continue
-        x, y = root(r["p"]), root(r["q"])
-        if x != y:
+        x, y = root(r["p"], up), root(r["q"], up)
+        if x != y and not any(both[m] & members[y] for m in members[x]):
             x, y = (x, y) if (uses[x], y) >= (uses[y], x) else (y, x)
             up[y] = x
-    return {p: root(p) for p in up}
+            members[x] |= members.pop(y)
+    return {p: root(p, up) for p in up}
 
 
 def _cast(v: object, kind: str) -> str | None:

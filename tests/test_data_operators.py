@@ -105,6 +105,14 @@ def test_support_counts_both_directions(spark):
     assert all(r["sql_text"] == "s" and r["user_name"] == "u" for r in rows) and "sqlText" not in rows[0].asDict()
 
 
+def test_names_that_occur_together_never_share_a_column_by_a_chain(spark):
+    one = [("a",), ("b",), ("c",)]  # a -> b -> c are exact renames; in another source a and c occur in one record
+    files = {("r", str(i)): [json.dumps({k: f"{k}{i}" for k in ks})] for i, ks in enumerate(one)} | {("s", "0"): [json.dumps({"a": "left", "c": "right"})]}
+    rows = drift.unify(batch(spark, files), "runner", "file", "n", "raw").collect()
+    values = [v for r in rows for k, v in r.asDict().items() if k not in ("source", "file", "line") and v is not None]
+    assert sorted(values) == ["a0", "b1", "c2", "left", "right"]
+
+
 def test_previous_in_a_hot_group(spark):
     from tamarind.plans.neighbours import with_previous
 

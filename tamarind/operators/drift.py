@@ -306,6 +306,8 @@ def _cast(v: object, kind: str) -> str | None:
         v = v.get("value", v.get("id"))
     if v is None or isinstance(v, (dict, list)):
         return None
+    if kind == "number" and isinstance(v, bool):
+        return "1" if v else "0"
     return v if isinstance(v, str) else json.dumps(v)
 
 
@@ -314,8 +316,23 @@ def unify(df: DataFrame, source: str, file: str, line: str, raw: str, maps: froz
 
     A column has the type most files give its field (a tie: the first by name); values of other types are cast,
     wrapped values unwrapped, what can't be cast is null. Nested objects are spread into their fields (dots
-    become double underscores), maps and arrays stay JSON text. A field missing in a record is null.
+    become double underscores), maps and arrays stay JSON text. A field missing in a record is null. A boolean in a
+    column of numbers is 1 or 0. uncast() counts what can't be cast.
     """
+    wide, cols = _wide(df, source, file, line, raw, maps)
+    return wide.select(F.col("s").alias("source"), F.col("f").alias("file"), F.col("n").alias("line"), *[c.alias(n) for n, c in cols])
+
+
+def uncast(df: DataFrame, source: str, file: str, line: str, raw: str, maps: frozenset[str] = MAPS) -> DataFrame:
+    """(column, n_values, n_uncast): for each column of unify(), the values given and how many of them can't be cast and are null there."""
+    wide, cols = _wide(df, source, file, line, raw, maps)
+    given = lambda i: F.array_contains("g", i)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), given(i).alias("given"), c.isNull().alias("lost")) for i, (n, c) in enumerate(cols)])).alias("c")
+    return wide.select(each).where("c.given").groupBy("c.column").agg(F.count(F.lit(1)).alias("n_values"), F.count_if("c.lost").alias("n_uncast"))
+
+
+def _wide(df: DataFrame, source: str, file: str, line: str, raw: str, maps: frozenset[str]) -> tuple[DataFrame, list]:
+    """The records as (s, f, n, v: values as text by column, g: columns that were given a value), and (name, cast value) of the columns."""
     fields = cut(file_fields(df, source, file, raw, maps))
     pairs = with_previous(file_schemas(fields), "source", "file", ["schema"])
     pairs = pairs.where(F.col("prev_file").isNotNull() & (F.col("prev_schema") != F.col("schema")))
@@ -336,6 +353,7 @@ def unify(df: DataFrame, source: str, file: str, line: str, raw: str, maps: froz
                 if (o := _parsed(x)) is None:
                     continue
                 row: list[str | None] = [None] * len(at)
+                given = set()
                 stack = [("", o)]
                 while stack:
                     pre, obj = stack.pop()
@@ -344,17 +362,19 @@ def unify(df: DataFrame, source: str, file: str, line: str, raw: str, maps: froz
                         if c in at:
                             if row[at[c]] is None:
                                 row[at[c]] = _cast(v, kind[c])
+                            if v is not None:
+                                given.add(at[c])
                         elif isinstance(v, dict) and k not in maps:
                             stack.append((pre + k + ".", v))
-                rows.append((s, f, n, row))
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.string()))], ["s", "f", "n", "v"])
+                rows.append((s, f, n, row, sorted(given)))
+            cols = list(zip(*rows)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.list_(pa.int32()))], ["s", "f", "n", "v", "g"])
 
     wide = df.select(F.col(source).cast("string").alias("s"), F.col(file).cast("string").alias("f"), F.col(line).cast("long").alias("n"), F.col(raw).cast("string").alias("x"))
-    wide = wide.distinct().mapInArrow(run, "s string, f string, n long, v array<string>")
+    wide = wide.distinct().mapInArrow(run, "s string, f string, n long, v array<string>, g array<int>")
     sql = {"number": "double", "boolean": "boolean"}
-    cols = [F.col("v")[i].try_cast(sql[kinds[c]]).alias(c.replace(".", "__")) if kinds[c] in sql else F.col("v")[i].alias(c.replace(".", "__")) for i, c in enumerate(kept)]
-    return wide.select(F.col("s").alias("source"), F.col("f").alias("file"), F.col("n").alias("line"), *cols)
+    cols = [(c.replace(".", "__"), F.col("v")[i].try_cast(sql[kinds[c]]) if kinds[c] in sql else F.col("v")[i]) for i, c in enumerate(kept)]
+    return wide, cols
 
 
 def _uppers(path: str) -> list[str]:

@@ -47,6 +47,10 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return drift.unify(table(spark, d, "batch_record"), "runner", "file_name", "line_no", "raw")
 
 
+def p4_uncast(spark: SparkSession, d: str) -> DataFrame:
+    return drift.uncast(table(spark, d, "batch_record"), "runner", "file_name", "line_no", "raw")
+
+
 def p4_change_counts(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("change_kind", "field_path", "new_path").agg(F.count(F.lit(1)).alias("n_files"))
 
@@ -123,5 +127,5 @@ _WHY_SQL = "CASE WHEN k IS NULL THEN 'missing' WHEN deleted_at <= child_loaded T
 P7_FOUND_SQL = _p7_sql() + f" SELECT DISTINCT relation AS child_table, child_id, period, {_WHY_SQL} AS why FROM j WHERE {_WHY_SQL} IS NOT NULL"
 P7_REOPENED_SQL = _p7_sql() + f" SELECT relation, period, count(*) AS n FROM j WHERE k IS NOT NULL AND coalesce({_WHY_SQL}, 'late') = 'late' AND deleted_at IS NOT NULL GROUP BY ALL"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_leave_days, p4_found, p4_unified, p4_change_counts, p6_found, p6_keywords, p7_found, p7_snapshots, p7_reopened)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_leave_days, p4_found, p4_unified, p4_uncast, p4_change_counts, p6_found, p6_keywords, p7_found, p7_snapshots, p7_reopened)}
 ORACLE = {"p1_found": P1_FOUND_SQL, "p1_leave_days": P1_DAYS_SQL, "p7_found": P7_FOUND_SQL, "p7_reopened": P7_REOPENED_SQL}

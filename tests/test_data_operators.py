@@ -113,6 +113,13 @@ def test_names_that_occur_together_never_share_a_column_by_a_chain(spark):
     assert sorted(values) == ["a0", "b1", "c2", "left", "right"]
 
 
+def test_booleans_in_columns_of_numbers(spark):
+    records = [{"hit": 1.5, "ok": True}, {"hit": 2, "ok": True}, {"hit": True, "ok": False}, {"hit": {"value": False}, "ok": None}, {"hit": "soon"}, {"hit": None, "ok": {"a": 1}}]
+    df = batch(spark, {("r", str(i)): [json.dumps(x)] for i, x in enumerate(records)})
+    assert [r["hit"] for r in drift.unify(df, "runner", "file", "n", "raw").orderBy("file").collect()] == [1.5, 2.0, 1.0, 0.0, None, None]
+    assert sorted(map(tuple, drift.uncast(df, "runner", "file", "n", "raw").collect())) == [("hit", 5, 1), ("ok", 4, 1)]
+
+
 def test_previous_in_a_hot_group(spark):
     from tamarind.plans.neighbours import with_previous
 

@@ -54,7 +54,7 @@ def clean(x: Column | str) -> Column:
 def normalize_question(x: Column | str) -> Column:
     """A question as it is searched for: trimmed, lower case, closing ?!.,;: off, single blanks, first letter upper."""
     t = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(_c(x))), r"[?!.,;:]+$", ""), r"\s+", " "))
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t)))
 
 
 def slug(x: Column | str) -> Column:

@@ -43,7 +43,7 @@ def questions_markdown(spark: SparkSession, path: str) -> DataFrame:
     """The bullets ('- ') of a Markdown file."""
     rows = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id()).where(F.col("value").startswith("- "))
     none = F.lit(None)
-    return _numbered(rows.select("_n", none.cast("string").alias("id"), F.trim(F.substring("value", 3, 1_000_000)).alias("question"), none.cast("string").alias("expected_intent"), none.cast("map<string,string>").alias("expected_entities")).where("question <> ''"), [F.col("_n")])
+    return _numbered(rows.select("_n", none.cast("string").alias("id"), F.trim(F.substring("value", F.lit(3), F.length("value"))).alias("question"), none.cast("string").alias("expected_intent"), none.cast("map<string,string>").alias("expected_entities")).where("question <> ''"), [F.col("_n")])
 
 
 def questions_sheet(spark: SparkSession, path: str) -> DataFrame:

@@ -127,3 +127,12 @@ def test_money(spark):
 def test_bio_and_keys(spark):
     r = spark.sql("select array('số','123','4','ok') t, array('O','B-Số_tài_khoản','I-Số_tài_khoản','I-x') l").select(entities.bio_merge(F.col("t"), F.col("l")).alias("raw")).select(entities.canonical_keys(F.col("raw")).alias("m")).first()["m"]
     assert r == {"account_no": "123 4", "x": "ok"}
+
+
+def test_long_questions_stay_whole(spark, tmp_path):
+    from tamarind.sources import readers
+
+    long = "a" * 1_000_100
+    assert spark.createDataFrame([(long,)], "t string").select(F.length(T.normalize_question("t"))).first()[0] == len(long)
+    (tmp_path / "q.md").write_text(f"- {long}\n")
+    assert len(readers.questions_markdown(spark, str(tmp_path / "q.md")).first()["question"]) == len(long)

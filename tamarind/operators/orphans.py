@@ -93,22 +93,36 @@ def bounds(frames: list[DataFrame], cols: list[str], slices: int) -> list:
 
 
 def track(refs: DataFrame, pars: DataFrame, slices: int = 3, keep_live: bool = False, each=None) -> State:
-    """Runs the state over `slices` of load time, in order; `each(until, state)` sees the state after each slice."""
+    """Runs the state over `slices` of load time, in order; `each(until, state)` sees the state after each slice.
+
+    Rows without a load time are in the first slice. A reference without one is never late or deleted, only missing.
+    A parent row without one is there from the start, but says nothing about when: other rows of its key do, if any.
+    """
     refs, pars = keep_table(refs), keep_table(pars)
     marks = [None, *bounds([refs, pars], ["child_loaded", "parent_loaded"], slices), None]
     state = empty(refs, pars)
     for low, high in zip(marks, marks[1:]):
-        part = lambda f, c: f.where((F.lit(True) if low is None else F.col(c) >= F.lit(low)) & (F.lit(True) if high is None else F.col(c) < F.lit(high)))  # noqa: B023, E731
+        part = lambda f, c: f.where((F.col(c).isNull() if low is None else F.lit(False)) | (F.lit(True) if low is None else F.col(c) >= F.lit(low)) & (F.lit(True) if high is None else F.col(c) < F.lit(high)))  # noqa: B023, E731
         state = advance(state, part(refs, "child_loaded"), part(pars, "parent_loaded"), keep_live)
         if each:
             each(high, state)
     return state
 
 
+def _untimed(state: State) -> DataFrame:
+    """The references still pending whose parent is there without a load time, with its deletion."""
+    return state.pending.join(state.index.where("parent_loaded IS NULL"), KEYS)
+
+
 def orphans(state: State) -> DataFrame:
-    """(relation, child_id, period, why) at the end: the found cases, and what is still pending as 'missing'."""
+    """(relation, child_id, period, why) at the end: the found cases, and what is still pending as 'missing'.
+
+    Pending references whose parent has no load time aren't missing; they are cases only if it was deleted before they loaded.
+    """
     cols = ["relation", "child_id", "period", "why"]
-    return state.found.select(cols).unionByName(state.pending.withColumn("why", F.lit("missing")).select(cols)).distinct()
+    missing = state.pending.join(state.index.select(*KEYS), KEYS, "left_anti").withColumn("why", F.lit("missing"))
+    gone = _untimed(state).where(F.col("deleted_at") <= F.col("child_loaded")).withColumn("why", F.lit("deleted"))
+    return state.found.select(cols).unionByName(missing.select(cols)).unionByName(gone.select(cols)).distinct()
 
 
 def snapshot(state: State) -> DataFrame:
@@ -119,4 +133,6 @@ def snapshot(state: State) -> DataFrame:
 def reopened(state: State) -> DataFrame:
     """(relation, period, n): references that were fine when they loaded and whose parent has been deleted since."""
     gone = state.index.where(F.col("deleted_at").isNotNull()).select(*KEYS)
-    return state.live.join(gone, KEYS, "left_semi").groupBy("relation", "period").agg(F.sum("n").alias("n"))
+    untimed = _untimed(state).where(F.col("deleted_at").isNotNull() & F.coalesce(F.col("deleted_at") > F.col("child_loaded"), F.lit(True)))
+    live = state.live.unionByName(untimed.groupBy(*KEYS, "period").agg(F.count(F.lit(1)).alias("n")))
+    return live.join(gone, KEYS, "left_semi").groupBy("relation", "period").agg(F.sum("n").alias("n"))

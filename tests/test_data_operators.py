@@ -205,6 +205,18 @@ def test_orphans_are_the_same_in_any_slicing(spark):
     assert orphans.orphans(empty).count() == 0 and orphans.snapshot(empty).count() == 0
 
 
+def test_orphans_without_load_times(spark):
+    pars = [("a", None, None), ("b", t(5), None), ("c", None, t(3)), ("d", None, None), ("d", t(8), None)]
+    kids = [(1, "a", t(1)), (2, "a", t(9)), (3, "x", None), (4, "b", None), (5, "c", t(2)), (6, "c", t(4)), (7, "d", t(1)), (8, "b", t(9)), (9, "a", None)]
+    kids = [(i, k, date(2026, 1, 1), at) for i, k, at in kids]
+    refs = orphans.references(spark.createDataFrame(kids, "id long, key string, d date, loaded timestamp"), "t", "id", "key", "d", "loaded")
+    par = orphans.parents(spark.createDataFrame(pars, "key string, loaded timestamp, gone timestamp"), "t", "key", "loaded", "gone")
+    for slices in (1, 3):
+        state = orphans.track(refs, par, slices, True)
+        assert sorted((r["child_id"], r["why"]) for r in orphans.orphans(state).collect()) == [("3", "missing"), ("6", "deleted"), ("7", "late")]
+        assert [r["n"] for r in orphans.reopened(state).collect()] == [1]
+
+
 def test_orphans_in_a_stream(spark, tmp_path):
     from tamarind.streaming.orphans import OrphanStream
 

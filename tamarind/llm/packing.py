@@ -9,6 +9,7 @@ of their own, in groups of a bounded number of tasks.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -72,68 +73,83 @@ def _encoding(path: str):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Characters encoded at once; a longer text is encoded in stretches that end before a space.
+#: Characters encoded at once, about: what the encoder's lists of one text hold at a time.
 STRETCH = 100_000
+#: A blank between two signs that are none: this tokenizer always cuts before it.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def count_tokens(text: str | None, path: str) -> int:
-    """Tokens of a whole text. Texts beyond STRETCH are encoded by stretches cut before a space, where this tokenizer cuts too."""
+    """Tokens of a whole text.
+
+    Texts beyond STRETCH are encoded by stretches that end before a single blank, where the tokenizer's own pattern cuts; where
+    there is none, a stretch goes on until there is, so the count is that of the text encoded at once.
+    """
     if not text:
         return 0
     enc = _encoding(path)
-    if len(text) <= STRETCH:
-        return len(enc.encode_ordinary(text))
     n, at = 0, 0
     while at < len(text):
-        end = min(len(text), at + STRETCH)
-        if end < len(text):
-            space = text.rfind(" ", at + 1, end)
-            while space > at + 1 and text[space - 1].isspace():
-                space -= 1
-            end = space if space > at + 1 else end
+        m = _CUT.search(text, at + STRETCH)
+        end = m.start() if m else len(text)
         n += len(enc.encode_ordinary(text[at:end]))
         at = end
     return n
 
 
-_ROWS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("token_start", pa.int64()), ("n_tokens", pa.int32()), ("shard", pa.int32()), ("window", pa.int64()), ("offset", pa.int32())])
-_SQL = "kind string, doc_id long, piece int, token_start long, n_tokens int, shard int, window long, offset int"
+_ROWS = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("token_start", pa.int64()), ("n_tokens", pa.int32()), ("shard", pa.int32()), ("window", pa.int64()), ("offset", pa.int32()), ("open", pa.bool_())])
+_SQL = "doc_id long, piece int, token_start long, n_tokens int, shard int, window long, offset int, open boolean"
+_PACKED = "doc_id long, piece int, token_start long, n_tokens int, window_id string, offset int"
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
 
 def _first_round(capacity: int, tokenizer: str):
+    """Packs a task's documents; rows of a window come out when it is full, those of windows left open at the end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         packer = SumOfSquares(capacity)
-        empty_window = -1
+        held: dict[int, list[tuple]] = {}
         for whole in batches:
             for b in C.pieces(whole, 1):
-                out = []
+                out: list[tuple] = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     n = count_tokens(text, tokenizer)
                     if n == 0:
-                        out.append(("d", doc, 0, 0, 0, shard, empty_window, 0))
+                        out.append((doc, 0, 0, 0, shard, None, 0, False))
                     for piece, start in enumerate(range(0, n, capacity)):
                         size = min(capacity, n - start)
                         window, offset = packer.place(size)
-                        out.append(("d", doc, piece, start, size, shard, window, offset))
+                        rows = held.setdefault(window, [])
+                        rows.append((doc, piece, start, size, shard, window, offset, False))
+                        if offset + size == capacity:
+                            out += held.pop(window)
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS)], schema=_ROWS)
-        rest = [("w", None, None, None, level, shard, w, None) for w, level in packer.left_open()]
-        if rest:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rest), _ROWS)], schema=_ROWS)
+                    yield _table(out)
+        if held:
+            yield _table([(*r[:-1], True) for rows in held.values() for r in rows])
 
     return run
 
 
 def _second_round(capacity: int):
+    """Packs the windows that tasks left open, each as one item with all its rows, the fullest first."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        group = key[0].as_py()
-        packer, rows = SumOfSquares(capacity), []
-        for level, shard, window in sorted(zip(*[table.column(c).to_pylist() for c in ("n_tokens", "shard", "window")]), reverse=True):
-            to, base = packer.place(level)
-            rows.append((shard, window, f"g{group}-{to}", base))
-        cols = list(zip(*rows))
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int32())], ["shard", "window", "merged", "base"])
+        group, packer = key[0].as_py(), SumOfSquares(capacity)
+        rows: dict[tuple[int, int], list[tuple]] = {}
+        for r in zip(*[table.column(c).to_pylist() for c in _ROWS.names]):
+            rows.setdefault((r[4], r[5]), []).append(r)
+        level = {w: sum(r[3] for r in rs) for w, rs in rows.items()}
+        out = []
+        for w in sorted(rows, key=lambda w: (-level[w], w)):
+            to, base = packer.place(level[w])
+            out += [(*r[:4], f"g{group}-{to}", r[6] + base) for r in rows[w]]
+        kinds = [_ROWS.field(c).type for c in _ROWS.names[:4]] + [pa.string(), pa.int32()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "piece", "token_start", "n_tokens", "window_id", "offset"])
 
     return run
 
@@ -145,16 +161,14 @@ def pack(df: DataFrame, doc_id: str, text: str, tokenizer: str, capacity: int =
     texts have no tokens: they come out with a null window_id. Repeated ids are packed row by row; other
     columns are ignored. `tokenizer` is the path of a tiktoken ranks file that every executor has.
     Token counts are of whole texts. The first round is kept on shared storage, so that its result is one and the
-    same for all who read it whatever executors are lost.
+    same for all who read it whatever executors are lost. Only the rows of windows left open are shuffled.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     first = cut(rows.mapInArrow(_first_round(capacity, tokenizer), _SQL))
-    rest = first.where("kind = 'w'").withColumn("_group", F.floor(F.col("shard") / TASKS_A_GROUP))
-    merged = rest.groupBy("_group").applyInArrow(_second_round(capacity), "shard int, window long, merged string, base int")
-    docs = first.where("kind = 'd'").drop("kind")
-    placed = docs.join(merged, ["shard", "window"], "left")
-    window = F.when(F.col("n_tokens") > 0, F.coalesce("merged", F.concat(F.lit("s"), "shard", F.lit("-"), "window")))
-    return placed.select("doc_id", "piece", "token_start", "n_tokens", window.alias("window_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
+    rest = first.where("open").withColumn("_group", F.floor(F.col("shard") / TASKS_A_GROUP))
+    merged = rest.groupBy("_group").applyInArrow(_second_round(capacity), _PACKED)
+    full = first.where("NOT open").withColumn("window_id", F.concat(F.lit("s"), "shard", F.lit("-"), "window"))
+    return full.select("doc_id", "piece", "token_start", "n_tokens", "window_id", "offset").unionByName(merged)
 
 
 def fill(packed: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -155,8 +155,18 @@ def test_packing_loses_nothing(spark):
         assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) <= 128
     assert sum(want.values()) / (len(taken) * 128) > 0.9
     assert packing.pack(df.limit(0), "doc_id", "text", path, 128).count() == 0
-    long = "câu hỏi   dài\n" * 20_000
-    assert packing.count_tokens(long, path) == len(packing._encoding(path).encode_ordinary(long))
+
+
+def test_token_counts_are_those_of_whole_texts(spark, monkeypatch):
+    path, r = tokenizer_path(spark), random.Random(3)
+    whole = lambda t: len(packing._encoding(path).encode_ordinary(t))
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(250_001))
+    for t in ("câu hỏi   dài\n" * 20_000, letters, " " * 250_001 + "x", letters[:150_000] + " " + letters[:90_000]):
+        assert packing.count_tokens(t, path) == whole(t)
+    monkeypatch.setattr(packing, "STRETCH", 20)
+    for _ in range(500):
+        t = "".join(r.choice(["a", " ", "  ", "\n", "'s", "1", "é", "\xa0", "\u3000", "!", "xin", " chào", "-"]) for _ in range(r.randrange(200)))
+        assert packing.count_tokens(t, path) == whole(t)
 
 
 def brute_leaks(docs, items):

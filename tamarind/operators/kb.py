@@ -1,7 +1,9 @@
 """Knowledge-base upkeep: documents and their examples as two tables of immutable versions.
 
-A write makes a new version of each table it changes and then moves the pointer file, so readers never see half
-a change, and a failed write leaves the old version.
+A write makes a new version of each table it changes and then a pointer with the next number; the pointer with the
+greatest number counts. It comes into being by one rename to a name that is not taken, so readers never see half a change,
+a write that stops at any point leaves the version before, and of two writers at once the second fails. Tables that no
+pointer names any more are removed after the next write but one, so that readers of the version before can end.
 """
 
 from __future__ import annotations
@@ -11,12 +13,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tamarind.functions import text as T
+from tamarind.plans.shared import cut
 
 DOCUMENTS = "doc_id long, document string, metadata string, description string, examples_raw string, keyword string, search_text string, similarity_score double, duplicate_with_id long, duplicate_with_name string"
-POINTER = "current.json"
+POINTER = "current-{:09d}.json"
 EXAMPLES = "doc_id long, example_text string, example_formatted string"
 
 
@@ -29,13 +31,22 @@ class KnowledgeBase:
         self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         self._fs = self._path("x").getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _pointers(self) -> list[int]:
+        """The numbers of the pointers that are there, in order."""
+        there = self._fs.globStatus(self._path("current-*.json")) or []
+        return sorted(int(f.getPath().getName()[8:-5]) for f in there)
+
     def exists(self) -> bool:
-        return self._fs.exists(self._path(POINTER))
+        return bool(self._pointers())
+
+    def _read(self, number: int) -> dict[str, str]:
+        return json.loads(self.spark.read.text(f"{self.folder}/{POINTER.format(number)}", wholetext=True).first()[0])
 
     def _current(self) -> dict[str, str]:
-        if not self.exists():
+        there = self._pointers()
+        if not there:
             raise FileNotFoundError(f"no knowledge base in {self.folder}")
-        return json.loads(self.spark.read.text(f"{self.folder}/{POINTER}", wholetext=True).first()[0])
+        return self._read(there[-1])
 
     def create(self) -> None:
         """Empty tables, if there are none."""
@@ -51,22 +62,38 @@ class KnowledgeBase:
             return False
 
     def drop(self) -> None:
-        self._fs.delete(self._path(POINTER), False)
+        """All pointers and tables go, the newest pointer last."""
+        there = self._pointers()
+        kept = {v for n in there for v in self._read(n).values()}
+        for n in there:
+            self._fs.delete(self._path(POINTER.format(n)), False)
+        for v in kept:
+            self._fs.delete(self._path(v), True)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(DOCUMENTS if name == "documents" else EXAMPLES).parquet(f"{self.folder}/{self._current()[name]}")
 
     def _write(self, changed: dict[str, DataFrame]) -> None:
-        now = self._current() if self.exists() else {}
+        there = self._pointers()
+        now = self._read(there[-1]) if there else {}
         for name, df in changed.items():
             version = f"{name}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.folder}/{version}")
             now[name] = version
-        out = self._fs.create(self._path(POINTER + ".new"), True)
+        new = POINTER.format(there[-1] + 1 if there else 1)
+        made = f"{new}.{uuid.uuid4().hex}"
+        out = self._fs.create(self._path(made), True)
         out.write(bytearray(json.dumps(now), "utf-8"))
         out.close()
-        self._fs.delete(self._path(POINTER), False)
-        self._fs.rename(self._path(POINTER + ".new"), self._path(POINTER))
+        # Where rename overwrites, the test before it leaves only a moment in which two writers could meet.
+        if self._fs.exists(self._path(new)) or not self._fs.rename(self._path(made), self._path(new)):
+            raise FileExistsError(f"another write to {self.folder} came first")
+        kept = {v for n in there[-1:] for v in self._read(n).values()} | set(now.values())
+        for n in there[:-1]:
+            old = self._read(n)
+            self._fs.delete(self._path(POINTER.format(n)), False)
+            for v in set(old.values()) - kept:
+                self._fs.delete(self._path(v), True)
 
     def _rows(self, sheet: DataFrame, doc_id: Column) -> DataFrame:
         has = lambda c: F.col(c) if c in sheet.columns else F.lit(None).cast("string")
@@ -82,10 +109,14 @@ class KnowledgeBase:
         """Documents (column document, and any of metadata, description, examples, keyword) with their examples; ids go on from the greatest."""
         docs = self.table("documents")
         start = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-        placed = sheet.where(F.length(F.trim("document")) > 0).withColumn("_at", F.monotonically_increasing_id())
-        # A sheet is what a person uploads, so numbering it in one window is no matter.
-        numbered = placed.withColumn("_n", F.row_number().over(W.orderBy("_at")))
-        new = self._rows(numbered, (F.col("_n") + F.lit(start)).cast("long"))
+        # The rows are kept, so that their partitions stay as they are; the counts of these give each its first number.
+        placed = cut(sheet.where(F.length(F.trim("document")) > 0)).withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+        before, at = [], start
+        for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect():
+            before.append((r["_p"], at))
+            at += r["n"]
+        numbered = placed.join(F.broadcast(self.spark.createDataFrame(before, "_p int, _before long")), "_p")
+        new = self._rows(numbered, F.col("_before") + F.col("_i") + 1)
         self._write({"documents": docs.unionByName(new), "examples": self.table("examples").unionByName(self._examples(new))})
 
     def update(self, doc_id: int, sheet: DataFrame) -> None:

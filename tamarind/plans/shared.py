@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, or, where none is set (tests), one of our own."""
+    """The cluster's spark.checkpoint.dir, or, on one machine where none is set (tests), a folder of our own.
+
+    A cluster without one is a RuntimeError: its machines share no temporary folder.
+    """
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tamarind-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

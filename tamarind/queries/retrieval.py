@@ -160,9 +160,10 @@ def keyword_boost(spark, d):
     return table(spark, d, "gold_test_set").select("id", search.keyword_boost(F.col("tags"), F.col("question")).alias("boost"))
 
 
-@query(_BM25_CTE + """, b AS (SELECT *, score / greatest(max(score) OVER (PARTITION BY question_id), 0.001) AS normal FROM s WHERE question_id % 100 = 0),
-h AS (SELECT question_id, id, round(0.7 * coalesce(list_cosine_similarity(CAST(qe.embedding AS DOUBLE[]), CAST(de.embedding AS DOUBLE[])), 0) + 0.2 * normal, 4) AS score
-FROM b LEFT JOIN embeddings qe ON qe.vec_id = question_id LEFT JOIN embeddings de ON de.vec_id = id)
+@query(_BM25_CTE + """, a AS (SELECT DISTINCT item_id AS question_id FROM eval_item WHERE item_id % 100 = 0),
+b AS (SELECT *, score / greatest(max(score) OVER (PARTITION BY question_id), 0.001) AS normal FROM s WHERE question_id % 100 = 0),
+h AS (SELECT a.question_id, p.doc_id AS id, round(0.7 * coalesce(list_cosine_similarity(CAST(qe.embedding AS DOUBLE[]), CAST(de.embedding AS DOUBLE[])), 0) + 0.2 * coalesce(normal, 0), 4) AS score
+FROM a CROSS JOIN (SELECT DISTINCT doc_id FROM documents) p LEFT JOIN b ON b.question_id = a.question_id AND b.id = p.doc_id LEFT JOIN embeddings qe ON qe.vec_id = a.question_id LEFT JOIN embeddings de ON de.vec_id = p.doc_id)
 SELECT question_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM h) WHERE rank <= 10""")
 def hybrid_topk(spark, d):
     """Semantic and lexical scores of all documents for the stated questions, fused.

@@ -102,8 +102,8 @@ def staged(x: Column | str, stages: list[tuple[str, object]]) -> tuple[Column, C
 
 
 def remove_words(tokens: Column, stop: list[str]) -> Column:
-    """Tokens without those of a stop list."""
-    return F.array_except(tokens, F.array(*[F.lit(s) for s in stop])) if stop else tokens
+    """Tokens without those of a stop list; repeats of the others stay, and so does their order."""
+    return F.filter(tokens, lambda w: ~w.isin(list(stop))) if stop else tokens
 
 
 def ngrams(tokens: Column, n: int, sep: str = "_") -> Column:

@@ -35,8 +35,8 @@ def nodes(df: DataFrame, record_id: str, text: str, under: list[str] | None = No
     elements carry its label with their place as ordinal. `under`: only these top-level fields are shredded.
     `lists`: labels that hold lists; a lone object, string or other scalar there counts as a list of one.
     `packed`: labels whose value may itself be JSON in a string. `keep`: only nodes with these labels are stored
-    (all are walked), which prunes the table to the entities that are wanted. Null, blank, broken and non-object records give
-    nothing; neither does a null record id. Null elements keep their place and give a node of kind 'null'.
+    (all are walked), which prunes the table to the entities that are wanted. Null, blank, broken and non-object records, and
+    packed strings that are no JSON or nested deeper than a parser goes, give nothing; neither does a null record id. Null elements keep their place and give a node of kind 'null'.
     A record that is delivered twice gives its nodes twice, with equal keys.
     """
     only = set(under) if under is not None else None
@@ -62,7 +62,7 @@ def nodes(df: DataFrame, record_id: str, text: str, under: list[str] | None = No
                         if label in packed and isinstance(v, str):
                             try:
                                 v = json.loads(v)
-                            except ValueError:
+                            except (ValueError, RecursionError):
                                 continue
                         if label in lists and v is not None and not isinstance(v, list):
                             v = [v]

@@ -247,3 +247,10 @@ def test_skewed_join_keeps_all_rows(spark):
         skew_join(left.withColumn("v", F.lit(1)), right, ["k"])
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "a")], "k int, c string")
     assert once(twice, ["k"], ["c"]).count() == 3
+
+
+def test_deep_brackets_give_nothing(spark):
+    deep = json.dumps({"domain_routing": "[" * 200_000})
+    df = spark.createDataFrame([(1, deep), (2, "[" * 200_000), (3, json.dumps({"domain_routing": {"a": 1}}))], "id long, r string")
+    got = shred.nodes(df, "id", "r", ["domain_routing"], packed={"domain_routing"}).where("label IS NOT NULL").collect()
+    assert [(r["rec"], r["label"]) for r in got] == [("3", "domain_routing"), ("3", "a")]

@@ -136,3 +136,9 @@ def test_long_questions_stay_whole(spark, tmp_path):
     assert spark.createDataFrame([(long,)], "t string").select(F.length(T.normalize_question("t"))).first()[0] == len(long)
     (tmp_path / "q.md").write_text(f"- {long}\n")
     assert len(readers.questions_markdown(spark, str(tmp_path / "q.md")).first()["question"]) == len(long)
+
+
+def test_stop_words_leave_repeats(spark):
+    df = spark.createDataFrame([("a1 b1 a1 c1",)], "t string")
+    got = df.select(T.tokenize("t", ["zz"]).alias("x"), T.tokenize("t").alias("y"), T.tokenize("t", ["b1"]).alias("z")).first()
+    assert got["x"] == got["y"] and {"b1_a1", "a1_c1"} <= set(got["x"]) and "a1_a1" in got["z"]

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from tamarind.functions import entities as E
 from tamarind.functions import text as T
 from tamarind.operators import route
-from tamarind.plans import answer, execute, guard, quality, spec
+from tamarind.plans import answer, execute, quality, spec
+from tamarind.plans.outline import Outline, outline
+from tamarind.sources.readers import save_template
 
 
 @dataclass
@@ -26,6 +28,7 @@ class Domain:
     tables: list[route.Entry] = field(default_factory=list)
     schema: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
     entity_columns: dict[str, list[str]] = field(default_factory=dict)
+    entity_tables: dict[str, tuple[str, str]] = field(default_factory=dict)  # entity key: the table and column that know its values
     enums: dict[str, list[str]] = field(default_factory=dict)
 
 
@@ -37,6 +40,7 @@ class Pipeline:
     cache: execute.QueryCache | None = None
     limit: int = execute.DEFAULT_LIMIT
     timeout: float | None = 60.0
+    templates_folder: str | None = None  # where generated queries that gave rows are kept as templates
 
     def _domain(self, name: str) -> Domain:
         return next(d for d in self.domains if d.entry.name == name)
@@ -67,6 +71,16 @@ class Pipeline:
             out = F.when(F.col(column) == d.entry.name, make(d)) if out is None else out.when(F.col(column) == d.entry.name, make(d))
         return out
 
+    @staticmethod
+    def _missing(spark: SparkSession, d: Domain, found: dict[str, str]) -> set[str]:
+        """The entity keys whose value no row of their table has."""
+        wanted = [(k, found[k]) for k in d.entity_tables if k in found]
+        if not wanted:
+            return set()
+        tables = {k: (spark.table(d.entity_tables[k][0]), d.entity_tables[k][1]) for k, _ in wanted}
+        missing = quality.missing_entities(spark.createDataFrame(wanted, "k string, v string"), "k", "v", tables)
+        return {r["k"] for r in missing.collect()}
+
     def answer(self, spark: SparkSession, question: str, forced: str | None = None) -> dict:
         """One question all the way: a log record with validator, rows, confidence, timing and an explanation.
 
@@ -85,6 +99,7 @@ class Pipeline:
         cached = self.cache.get(r["cache_key"]) if self.cache else None
         bound = spec.bind(spec.choose(d.templates, r["intent"] or "") or "", found)
         sql, args = (cached["sql"], cached.get("args", {})) if cached else (bound.sql, bound.args) if spec.ready(bound, found) and bound.sql else ("", {})
+        columns = {t: [c for c, _ in cols] for t, cols in d.schema.items()}
         retry, result, error = spec.Retry(), None, None
         while True:
             if not sql and self.generator:
@@ -97,18 +112,25 @@ class Pipeline:
                 break
             error = result.error
             retry.record(sql, error, result.status)
+            if columns and retry.may_repair(result.status) and (read := spec.from_sql(spark, sql)):
+                mended = spec.repair(read, columns, {k: v for k, v in found.items() if k in d.entity_columns}, question).bound()
+                if mended.sql != sql:
+                    sql, args = mended.sql, mended.args
+                    continue
             if not self.generator or not retry.may_regenerate(result.status):
                 return {**log, "sql": sql, "validator": "FAIL", "error": error, "explanation": ""}
             sql = ""
         log["sql"], log["rows"] = sql, len(result.rows)
         log["timing"]["execution"] = time.perf_counter() - began - log["timing"]["routing"]
-        columns = {t: [c for c, _ in cols] for t, cols in d.schema.items()}
-        score, issues = quality.structure_score(question, sql, guard.check(spark, sql).tables, found, columns, d.entity_columns)
-        warnings = quality.semantic_warnings(question, sql)
-        status, why = ("PASS", []) if result.rows else quality.explain_empty(found, set(), d.enums, self.as_of)
+        read = outline(spark, sql) or Outline()
+        score, issues = quality.structure_score(question, read, found, columns, d.entity_columns)
+        warnings = quality.semantic_warnings(question, read)
+        status, why = ("PASS", []) if result.rows else quality.explain_empty(found, self._missing(spark, d, found), d.enums, self.as_of)
         weights = {"sql_executable": True, "structure": min(score, 1.0), "entity_valid": status != "DATA_ERROR", "semantic_ok": not warnings, "has_rows": bool(result.rows)}
         total = round(sum(quality.WEIGHTS[k] * float(v) for k, v in weights.items()), 2)
         log |= {"validator": status, "confidence": {"score": total, "passed": total >= quality.PASS_FROM}, "semantic_warnings": warnings, "structure_score": score, "structure_issues": issues, "data_validation": why}
+        if self.templates_folder and status == "PASS" and not cached and sql != bound.sql:
+            save_template(spark, self.templates_folder, r["intent"] or r["cache_key"], sql)
         if self.cache:
             self.cache.put(r["cache_key"], sql, status, args=args)
         names = list(result.rows[0].asDict()) if result.rows else []

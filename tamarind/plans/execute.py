@@ -13,28 +13,35 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from tamarind.plans import dialect, guard
 
 DEFAULT_LIMIT = 100
+#: Rows that are ever brought to the driver for one answer.
+MOST_ROWS = 10_000
 
 
 @dataclass
 class Result:
     status: str  # ok, or the kind of error
     rows: list[Row] = field(default_factory=list)
+    more: bool = False  # whether the query has rows beyond these
     error: str = ""
     sql: str = ""
 
 
-def prepare(spark: SparkSession, sql: str, args: dict | None = None, limit: int = DEFAULT_LIMIT) -> tuple[guard.Verdict, DataFrame | None]:
-    """(verdict, the query as a DataFrame): adapted, guarded, analysed; limited if its root is no limit of its own."""
+def prepare(spark: SparkSession, sql: str, args: dict | None = None, limit: int | None = DEFAULT_LIMIT) -> tuple[guard.Verdict, DataFrame | None]:
+    """(verdict, the query as a DataFrame): adapted, guarded, analysed; limited if its root is no limit of its own; with limit=None all rows."""
     text = dialect.to_spark(sql)
     v = guard.analyse(spark, text, args)
     if not v.ok:
         return v, None
     df = spark.sql(text, args=args or {})
-    return v, df if v.limit else df.limit(limit)
+    return v, df if v.limit or limit is None else df.limit(limit)
 
 
 def run(spark: SparkSession, sql: str, args: dict | None = None, limit: int = DEFAULT_LIMIT, timeout: float | None = None) -> Result:
-    """The rows, at most `limit` unless the query says otherwise; its jobs are cancelled after `timeout` seconds."""
+    """The rows, at most `limit` unless the query says otherwise; its jobs are cancelled after `timeout` seconds.
+
+    Rows go to the driver, so of a query with a greater limit of its own MOST_ROWS come, and `more` says that it has others;
+    prepare() gives all of them as a DataFrame.
+    """
     v, df = prepare(spark, sql, args, limit)
     if df is None:
         return Result(v.kind, error=v.message, sql=sql)
@@ -44,7 +51,8 @@ def run(spark: SparkSession, sql: str, args: dict | None = None, limit: int = DE
     try:
         if timer:
             timer.start()
-        return Result("ok", df.collect(), sql=sql)
+        rows = df.limit(MOST_ROWS + 1).collect()
+        return Result("ok", rows[:MOST_ROWS], len(rows) > MOST_ROWS, sql=sql)
     except Exception as e:  # noqa: BLE001
         return Result(guard.classify(e), error=str(e).split("\n")[0], sql=sql)
     finally:

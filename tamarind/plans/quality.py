@@ -8,56 +8,69 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Question words and the SQL they call for; weights and thresholds.
-CALLS_FOR = (
-    (r"\btổng\b|tổng cộng|tổng số tiền", r"\bsum\s*\(", "SUM"),
-    (r"trung bình|bình quân", r"\bavg\s*\(", "AVG"),
-    (r"bao nhiêu|số lượng|\bđếm\b|có mấy", r"\bcount\s*\(", "COUNT"),
-    (r"lớn nhất|cao nhất|\bmax\b", r"\bmax\s*\(|order\s+by[^)]*desc", "MAX"),
-    (r"nhỏ nhất|thấp nhất|\bmin\b|ít nhất", r"\bmin\s*\(|order\s+by", "MIN"),
-    (r"gần nhất|mới nhất|cuối cùng|gần đây", r"\border\s+by\b", "ORDER BY"),
-    (r"hôm nay|hôm qua|tuần (?:này|trước|qua)|tháng (?:này|trước|qua)|năm nay", r"(?s)\bwhere\b.*\b\w*(?:time|date|_at)\w*\b", "a time filter"),
-)
+from tamarind.plans.outline import AGGREGATES, Outline
+
+# What the words of a question call for in its query. They are the default of a parameter.
+CUES = {
+    "SUM": ("tổng",),
+    "AVG": ("trung bình", "bình quân"),
+    "COUNT": ("bao nhiêu", "số lượng", "đếm", "có mấy"),
+    "MAX": ("lớn nhất", "cao nhất", "max"),
+    "MIN": ("nhỏ nhất", "thấp nhất", "ít nhất", "min"),
+    "ORDER BY": ("gần nhất", "mới nhất", "gần đây", "cuối cùng"),
+    "a time filter": ("hôm nay", "hôm qua", "tuần này", "tuần trước", "tuần qua", "tháng này", "tháng trước", "tháng qua", "năm nay"),
+}
+# Weights of the confidence, and from what it passes.
 WEIGHTS = {"sql_executable": 0.3, "structure": 0.3, "entity_valid": 0.2, "semantic_ok": 0.1, "has_rows": 0.1}
 PASS_FROM = 0.6
-AGGREGATES = frozenset({"SUM", "AVG", "COUNT", "MAX", "MIN"})
+#: Steps of a column's name that tell a time.
+TIME_STEPS = frozenset({"time", "date", "day", "month", "year", "at"})
 
 
-def semantic_warnings(question: str, sql: str) -> list[str]:
-    """What the question's words call for and the SQL lacks."""
-    q, s = question.lower(), sql.lower()
-    out = [name for words, need, name in CALLS_FOR if re.search(words, q) and not re.search(need, s)]
-    if re.search(r"\btổng\b|trung bình|\bđếm\b|bao nhiêu|số lượng", q) and re.search(r"select\s+\*", s):
-        out.append("no SELECT *")
-    return out
+def called_for(question: str, cues: dict[str, tuple[str, ...]] = CUES) -> list[str]:
+    """What the words of a question call for, in the order of the cues; a cue counts as whole words."""
+    said = f" {' '.join(re.findall(r'[^\W_]+', question.lower()))} "
+    return [need for need, words in cues.items() if any(f" {w} " in said for w in words)]
 
 
-def structure_score(question: str, sql: str, tables: list[str], entities: dict[str, object], schema: dict[str, list[str]], entity_columns: dict[str, list[str]]) -> tuple[float, list[str]]:
-    """(score of 0 to 1, issues): a quarter each for tables, columns, filters and aggregates. `tables` come from the parsed plan."""
-    issues, score = [], 0.0
-    unknown = [t for t in tables if t not in schema]
-    if not tables:
-        issues.append("no table")
-    elif unknown:
-        issues.append(f"unknown tables {unknown}")
-    else:
-        score += 0.25
+def _has(need: str, o: Outline) -> bool:
+    if need == "ORDER BY":
+        return bool(o.order_by)
+    if need == "a time filter":
+        return any(TIME_STEPS & set(c.lower().split("_")) for c in o.filtered)
+    used = any(f == need for f, _, _ in o.aggregates)
+    # The greatest or least may also be the first of an order.
+    return used or need == "MAX" and any(d for _, d in o.order_by) or need == "MIN" and any(not d for _, d in o.order_by)
+
+
+def semantic_warnings(question: str, o: Outline, cues: dict[str, tuple[str, ...]] = CUES) -> list[str]:
+    """What the question's words call for and the query lacks; and all columns where one figure was asked for."""
+    needs = called_for(question, cues)
+    out = [n for n in needs if not _has(n, o)]
+    return out + (["no SELECT *"] if o.star and {"SUM", "AVG", "COUNT"} & set(needs) else [])
+
+
+def structure_score(question: str, o: Outline, entities: dict[str, object], schema: dict[str, list[str]], entity_columns: dict[str, list[str]], cues: dict[str, tuple[str, ...]] = CUES) -> tuple[float, list[str]]:
+    """(score of 0 to 1, issues): a quarter each for known tables, known columns, filters for the entities, aggregates asked for.
+
+    A query without any filter column has 0.15 of its second quarter. Where only some of the entities or aggregates
+    are met, so is the quarter.
+    """
     known = {c.lower() for cols in schema.values() for c in cols}
-    used = [m.lower() for m in re.findall(r"(?i)(?:\bwhere|\band|\bor|\bhaving|\bon)\s+\(*(?:\w+\.)?`?(\w+)`?\s*(?:=|<>|!=|[<>]=?|\blike\b|\bbetween\b|\bin\b|\bis\b)", sql)]
-    if any(c not in known for c in used):
-        issues.append(f"unknown columns {sorted({c for c in used if c not in known})}")
-    else:
-        score += 0.25 if used else 0.15
-    if entities and not re.search(r"(?i)\bwhere\b", sql):
+    strange = {t for t in o.tables if t not in schema}
+    odd = {c for c in o.filtered if c.lower() not in known}
+    issues = [*(["no table"] if not o.tables else []), *([f"unknown tables {sorted(strange)}"] if strange else []), *([f"unknown columns {sorted(odd)}"] if odd else [])]
+    used = {c.lower() for c in o.filtered}
+    expected = [set(entity_columns[k]) for k in entities if entity_columns.get(k)]
+    if entities and not used:
         issues.append("no filter for the entities")
+        met = 0.0
     else:
-        expected = [k for k in entities if entity_columns.get(k)]
-        hit = [k for k in expected if any(c in used for c in entity_columns[k])]
-        score += round(0.25 * (len(hit) / len(expected) if expected else 1.0), 3)
-    needed = {name for words, _, name in CALLS_FOR if name in AGGREGATES and re.search(words, question.lower())}
-    met = {name for words, need, name in CALLS_FOR if name in needed and re.search(need, sql.lower())}
-    score += round(0.25 * (len(met) / len(needed) if needed else 1.0), 3)
-    return round(score, 2), issues
+        met = sum(bool(cols & used) for cols in expected) / len(expected) if expected else 1.0
+    needs = [n for n in called_for(question, cues) if n in AGGREGATES]
+    figures = sum(_has(n, o) for n in needs) / len(needs) if needs else 1.0
+    parts = [0.25 * (bool(o.tables) and not strange), 0.0 if odd else 0.25 if used else 0.15, 0.25 * met, 0.25 * figures]
+    return round(sum(round(p, 3) for p in parts), 2), issues
 
 
 def confidence(executed: Column, structure: Column, entity_valid: Column, semantic_ok: Column, rows: Column) -> Column:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tamarind.plans import dialect
+from tamarind.plans.outline import outline
 
 # Slot names and the entity keys that may fill them, in order.
 ALIASES = {"account_number": ("account_no", "from_account_no"), "to_account_number": ("to_account_no",), "min_amount": ("amount_min", "amount"), "max_amount": ("amount_max", "amount"), "status": ("trans_status",), "recipient_name": ("to_account_fullname",)}
@@ -111,6 +112,14 @@ class QuerySpec:
         return spark.sql(b.sql, args=b.args)
 
 
+def from_sql(spark: SparkSession, sql: str) -> QuerySpec | None:
+    """A query on one table as data; None where it doesn't parse, has another number of tables, or filters that are no plain comparisons."""
+    o = outline(spark, sql)
+    if o is None or len(o.tables) != 1 or len(o.where) != len(o.filtered):
+        return None
+    return QuerySpec(o.tables[0], [] if o.star else o.columns, o.where, o.group_by, o.aggregates, o.order_by, o.limit)
+
+
 def repair(spec: QuerySpec, schema: dict[str, list[str]], entities: dict[str, object], question: str = "") -> QuerySpec:
     """A spec made valid against the schema: known table and columns, filters for the entities at hand, grouped plain columns.
 

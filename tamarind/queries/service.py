@@ -42,7 +42,7 @@ def _bound(spark: SparkSession, d: str, template: str, values: dict[str, object]
     b = spec.bind(TEMPLATES[template], values)
     if b.unfilled:
         raise ValueError(f"unfilled {b.unfilled}")
-    verdict, df = execute.prepare(spark, b.sql, b.args, 1_000_000_000)
+    verdict, df = execute.prepare(spark, b.sql, b.args, None)
     if df is None:
         raise ValueError(verdict.message)
     return df
@@ -64,7 +64,7 @@ def question_to_rows(spark, d):
 def dialect_adapted(spark, d):
     """SQL in another system's dialect, adapted."""
     register(spark, d, ["orders"])
-    verdict, df = execute.prepare(spark, "SELECT strftime('%Y-%m', o_orderdate) AS month, TOTAL(o_totalprice) > 0 AS any_total, COUNT(*) AS n FROM \"orders\" GROUP BY 1;", None, 1_000_000_000)
+    verdict, df = execute.prepare(spark, "SELECT strftime('%Y-%m', o_orderdate) AS month, TOTAL(o_totalprice) > 0 AS any_total, COUNT(*) AS n FROM \"orders\" GROUP BY 1;", None, None)
     if df is None:
         raise ValueError(verdict.message)
     return df

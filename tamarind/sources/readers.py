@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,11 +82,13 @@ def sql_files(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(F.regexp_extract("_file", r"([^/]+)\.sql$", 1).alias("template_id"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("sql")).where("sql <> ''")
 
 
-def save_template(folder: str, intent_id: str, sql: str) -> Path:
-    """A template as a file of its own, named by its intent; the name is made safe."""
-    path = Path(folder) / (re.sub(r"[^\w\-]+", "_", intent_id)[:50] + ".sql")
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(sql.strip() + "\n", "utf-8")
+def save_template(spark: SparkSession, folder: str, intent_id: str, sql: str) -> str:
+    """A template as a file of its own on the folder's file system, named by its intent; the name is made safe."""
+    path = f"{folder.rstrip('/')}/{re.sub(r'[^\w\-]+', '_', intent_id)[:50]}.sql"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(sql.strip() + "\n", "utf-8"))
+    out.close()
     return path
 
 

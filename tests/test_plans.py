@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarind.operators import generate, kb, route, search
 from tamarind.plans import answer, dialect, execute, guard, quality, spec
+from tamarind.plans.outline import outline
 from tamarind.sources import readers
 
 
@@ -73,6 +74,24 @@ def test_repair(views):
     assert [tuple(r) for r in fixed.run(views).collect()] == [("O'Brien", 5.0)]
 
 
+def test_repair_from_sql(views):
+    s = spec.from_sql(views, "SELECT nam FROM tx WHERE amout > 4 ORDER BY nam")
+    fixed = spec.repair(s, {"txn": ["id", "name", "amount", "day"]}, {})
+    assert [tuple(r) for r in fixed.run(views).collect()] == [(n,) for n, in views.sql("SELECT name FROM txn WHERE amount > 4 ORDER BY name").collect()]
+    assert spec.from_sql(views, "SELECT a FROM x WHERE a = 1 OR b = 2") is None and spec.from_sql(views, "SELECT ( FROM") is None
+
+
+def test_no_limit_where_none_is_asked(views):
+    _, df = execute.prepare(views, "SELECT id FROM range(500)", None, None)
+    assert df.count() == 500 and "Limit" not in df._jdf.queryExecution().toString()
+
+
+def test_rows_for_the_driver_are_bounded(views, monkeypatch):
+    monkeypatch.setattr(execute, "MOST_ROWS", 3)
+    r = execute.run(views, "SELECT id FROM range(9) LIMIT 2000000000")
+    assert len(r.rows) == 3 and r.more and not execute.run(views, "SELECT id FROM range(3) LIMIT 1000").more
+
+
 def test_execution(views, tmp_path):
     assert len(execute.run(views, "SELECT id FROM range(500)").rows) == execute.DEFAULT_LIMIT
     assert execute.run(views, "SELECT assert_true(false)").status == "runtime"
@@ -81,10 +100,24 @@ def test_execution(views, tmp_path):
     assert execute.QueryCache(str(tmp_path / "c.json")).get("k")["sql"] == "SELECT 1"
 
 
+def test_outline(spark):
+    o = outline(spark, "SELECT nam, SUM(amount) AS total FROM tx WHERE id = 1 AND day >= '2026-01-01' GROUP BY nam HAVING SUM(amount) > 5 ORDER BY total DESC LIMIT 5")
+    assert (o.tables, o.columns, o.where, o.group_by, o.aggregates[-1], o.order_by, o.limit) == (["tx"], ["nam"], [("id", "=", 1), ("day", ">=", "2026-01-01")], ["nam"], ("SUM", "amount", "total"), [("total", True)], 5)
+    o = outline(spark, "SELECT * FROM a JOIN b ON a.x = b.y WHERE (x = 1 OR z LIKE 'p%') AND a.w IN (SELECT w FROM c)")
+    assert o.star and o.tables[:2] == ["a", "b"] and set(o.filtered) >= {"x", "y", "z", "w"} and not o.where
+    assert outline(spark, "SELECT FROM WHERE x y z") is None
+
+
 def test_quality(spark):
-    assert quality.semantic_warnings("tổng hôm qua", "SELECT * FROM t") == ["SUM", "a time filter", "no SELECT *"]
-    assert quality.semantic_warnings("anh Minh", "SELECT 1") == []
-    assert quality.structure_score("", "SELECT a FROM t WHERE a = 1", ["t"], {"acc": "1"}, {"t": ["a"]}, {"acc": ["a"]}) == (1.0, [])
+    read = lambda sql: outline(spark, sql)
+    assert quality.semantic_warnings("tổng hôm qua", read("SELECT * FROM t")) == ["SUM", "a time filter", "no SELECT *"]
+    assert quality.semantic_warnings("anh Minh", read("SELECT 1")) == []
+    assert quality.semantic_warnings("lương cao nhất", read("SELECT a FROM t ORDER BY b DESC LIMIT 1")) == [] and quality.semantic_warnings("lương cao nhất", read("SELECT a FROM t")) == ["MAX"]
+    assert quality.semantic_warnings("foo", read("SELECT 1"), {"SUM": ("foo",)}) == ["SUM"]
+    t, acc = {"t": ["a"]}, {"acc": ["a"]}
+    assert quality.structure_score("", read("SELECT a FROM t WHERE a = 1"), {"acc": "1"}, t, acc) == (1.0, [])
+    assert quality.structure_score("tổng", read("SELECT a FROM u"), {}, t, acc) == (0.4, ["unknown tables ['u']"])
+    assert quality.structure_score("tổng", read("SELECT SUM(a) FROM t"), {"acc": "1"}, t, acc) == (0.65, ["no filter for the entities"])
     r = spark.sql("select true a, 1.0D s, 3L n").select(quality.confidence(F.col("a"), F.col("s"), F.col("a"), F.col("a"), F.col("n")).alias("c")).first()["c"]
     assert tuple(r) == (1.0, True)
     from datetime import date
@@ -95,7 +128,7 @@ def test_quality(spark):
 
 def test_answers():
     assert answer.extract_sql("<think>a</think>```sql\nSELECT 1;\nx```") == "SELECT 1"
-    assert answer.extract_sql("I cannot do that") == "" and answer.extract_sql(None) == ""
+    assert answer.extract_sql("I cannot do that") == "" and answer.extract_sql("Please give me a SELECT statement to mend") == "" and answer.extract_sql(None) == ""
     assert answer.explain(["a"], []) and "**1**" in answer.explain(["a"], [(1,)]) and "2" in answer.explain(["a"], [(1,), (2,)])
     assert "a: " in answer.context(["a"], [("x" * 60,)])
 
@@ -114,7 +147,7 @@ def test_sources(spark, tmp_path):
         readers.questions(spark, str(tmp_path / "q.txt"))
     (tmp_path / "l.jsonl").write_text('{"a": 1}\nbad\n')
     assert readers.json_lines(spark, str(tmp_path / "l.jsonl"), "a int").collect() == [(1,)]
-    readers.save_template(str(tmp_path / "t"), "x/y", "SELECT 1")
+    readers.save_template(spark, str(tmp_path / "t"), "x/y", "SELECT 1")
     assert [tuple(r) for r in readers.sql_files(spark, str(tmp_path / "t")).collect()] == [("x_y", "SELECT 1")]
 
 
@@ -135,7 +168,12 @@ def test_knowledge_base(spark, tmp_path):
         k.delete(1)
     k.insert(spark.createDataFrame([("C",)], "document string"))
     assert {r["doc_id"] for r in k.table("documents").collect()} == {2, 3}
+    (tmp_path / "kb" / "current-999999999.json.half").write_text("{")  # what a write that stopped leaves
+    k.insert(spark.range(40).selectExpr("concat('D', id) AS document").repartition(7))
+    assert sorted(r["doc_id"] for r in k.table("documents").collect()) == list(range(2, 44))
+    assert len(list((tmp_path / "kb").glob("current-*.json"))) == 2
     k.delete_all()
+    assert k.stats().first()["documents"] == 0
     k.drop()
     assert not k.exists()
 
@@ -200,6 +238,26 @@ def test_pipeline(views, tmp_path):
     assert [r["domain"] for r in plan.collect()] == ["banking", None, None] and "Exchange" not in plan._jdf.queryExecution().toString()
 
 
+def test_pipeline_repairs_checks_entities_and_learns(views, tmp_path):
+    from datetime import date
+
+    from tamarind.pipeline import Domain, Pipeline
+
+    bank = Domain(
+        route.Entry("banking", ["tai khoan"]),
+        [route.Entry("ask", ["tai khoan"])],
+        schema={"txn": [("id", "int"), ("name", "string"), ("amount", "double")]},
+        entity_tables={"account_no": ("txn", "id")},
+    )
+    replies = iter(["SELECT nam FROM txm WHERE amount > 4", "SELECT name FROM txn WHERE id = 123456"])
+    p = Pipeline([bank], date(2026, 3, 26), lambda prompt: next(replies), templates_folder=str(tmp_path / "t"))
+    made = p.answer(views, "tài khoản nào")
+    assert made["validator"] == "PASS" and made["rows"] == 2 and "`name`" in made["sql"]  # mended, not asked for again
+    assert [r["template_id"] for r in readers.sql_files(views, str(tmp_path / "t")).collect()] == ["ask"]
+    empty = p.answer(views, "tài khoản 123456")
+    assert empty["validator"] == "DATA_ERROR" and "123456" in empty["data_validation"][0]
+
+
 def test_hybrid_search(spark):
     q = spark.createDataFrame([(1, "mở tài khoản", [1.0, 0.0])], "question_id long, question string, vector array<float>")
     docs = spark.createDataFrame([(1, "Mở tài khoản", "tài khoản, mở"), (2, "Đóng thẻ", None), (3, None, None)], "doc_id long, document string, keyword string")

@@ -20,8 +20,10 @@ LIMIT = 0x20000
 #: Code points a step works on at once, so that its arrays stay small beside an executor's memory.
 CHUNK_BYTES = 2_000_000
 
-# Letters of other alphabets that look like a Latin letter.
+# Letters that look like a letter of the Vietnamese alphabet and are another.
 LOOK_ALIKES = {
+    # Latin: eth and African d
+    "Ð": "Đ", "ð": "đ", "Ɖ": "Đ", "ɖ": "đ",
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Һ": "H", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ь": "b",
     "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ү": "y", "г": "r", "к": "k", "п": "n",
@@ -54,6 +56,7 @@ class Tables:
     word: np.ndarray  # letter or digit
     lower: np.ndarray  # lower case of the base letter, d for đ
     bare: np.ndarray  # the base letter in its own case, d for đ
+    lettered: np.ndarray  # lower for letters and digits, else a blank
     emoji: np.ndarray
     suspicious: np.ndarray
     pair_keys: np.ndarray
@@ -127,19 +130,24 @@ def tables() -> Tables:
     suspicious |= mark | invisible | (plain != ident) | (script == LIKE) | (script[np.minimum(base, LIMIT - 1)] == LIKE)
     keys = np.array([k for k, _ in pairs], np.uint64)
     order = np.argsort(keys)
-    return Tables(base, parts_at, parts_n, np.array(parts, np.uint32), ccc, mark, invisible, plain, like, weak, script, word, lower, bare, emoji, suspicious, keys[order], np.array([v for _, v in pairs], np.uint32)[order])
+    return Tables(base, parts_at, parts_n, np.array(parts, np.uint32), ccc, mark, invisible, plain, like, weak, script, word, lower, bare, np.where(word, lower, np.uint32(0x20)), emoji, suspicious, keys[order], np.array([v for _, v in pairs], np.uint32)[order])
 
 
 def get(table: np.ndarray, cps: np.ndarray, default: object = 0) -> np.ndarray:
     """table[cps], with `default` above the tables."""
+    if default == table[LIMIT - 1]:  # the last place is no character, so it has what most others have
+        return np.take(table, cps, mode="clip")
     if len(cps) and cps.max() >= LIMIT:
-        return np.where(cps < LIMIT, table[np.minimum(cps, LIMIT - 1)], default)
-    return table[cps]
+        return np.where(cps < LIMIT, np.take(table, cps, mode="clip"), default)
+    return np.take(table, cps)
 
 
 def mapped(table: np.ndarray, cps: np.ndarray) -> np.ndarray:
     """table[cps] for tables of code points: what lies above them stays itself."""
-    return get(table, cps, cps).astype(np.uint32, copy=False)
+    out = np.take(table, cps, mode="clip")
+    if len(cps) and cps.max() >= LIMIT:
+        out = np.where(cps < LIMIT, out, cps)
+    return out.astype(np.uint32, copy=False)
 
 
 def to_codepoints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +193,7 @@ def pieces(batch: pa.RecordBatch, column: int | str, limit: int = CHUNK_BYTES) -
 def hidden(cps: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Which code points are invisible signs, those that hold an emoji together aside."""
     t = tables()
-    gone = get(t.invisible, cps, False).astype(bool)
+    gone = get(t.invisible, cps, False)
     if not gone.any():
         return gone
     n = len(cps)
@@ -364,23 +372,30 @@ class Words:
     length: np.ndarray  # of the folded form
 
 
-def _apart(cps: np.ndarray, off: np.ndarray, quick, whole) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, offsets, source place) by `quick`, place by place, for rows of ordinary characters, by `whole` for the others."""
-    odd = get(tables().suspicious, cps, False).astype(bool)
-    if not odd.any():
-        return quick(cps), off, np.arange(len(cps))
-    sick = np.diff(np.concatenate([[0], np.cumsum(odd)])[off]) > 0
+def _apart(cps: np.ndarray, off: np.ndarray, quick, whole) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(code points, offsets, source place) by `quick`, place by place, for rows of ordinary characters, by `whole` for the others.
+
+    The source places are None where every code point has its own.
+    """
+    odd = np.flatnonzero(get(tables().suspicious, cps, False))
+    made = quick(cps)
+    if not len(odd):
+        return made, off, None
+    rows = np.unique(np.searchsorted(off, odd, side="right") - 1)
     lengths = np.diff(off)
-    there = np.repeat(sick, lengths)
-    at = np.flatnonzero(there)
-    c2, off2, src2 = whole(cps[at], np.concatenate([[0], np.cumsum(lengths[sick])]))
-    lengths[sick] = np.diff(off2)
-    noff = np.concatenate([[0], np.cumsum(lengths)])
-    place = np.repeat(sick, lengths)
-    out, src = np.empty(noff[-1], np.uint32), np.empty(noff[-1], np.int64)
-    out[place], src[place] = c2, at[src2]
-    out[~place], src[~place] = quick(cps[~there]), np.flatnonzero(~there)
-    return out, noff, src
+    starts, ends = off[rows], off[rows + 1]
+    each = lengths[rows]
+    soff = np.concatenate([[0], np.cumsum(each)])
+    c2, off2, src2 = whole(np.concatenate([cps[a:b] for a, b in zip(starts.tolist(), ends.tolist())]), soff)
+    src2 = src2 + np.repeat(starts - soff[:-1], np.diff(off2))
+    lengths[rows] = np.diff(off2)
+    own = np.arange(len(cps))
+    out, src, at = [], [], 0
+    for a, b, x, y in zip(starts.tolist(), ends.tolist(), off2[:-1].tolist(), off2[1:].tolist()):
+        out += [made[at:a], c2[x:y]]
+        src += [own[at:a], src2[x:y]]
+        at = b
+    return np.concatenate([*out, made[at:]]), np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([*src, own[at:]])
 
 
 def _bare(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -395,16 +410,15 @@ def _bare(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _lettered(b: np.ndarray) -> np.ndarray:
-    t = tables()
-    return np.where(get(t.word, b, False).astype(bool), mapped(t.lower, b), np.uint32(0x20))
+    return np.take(tables().lettered, b, mode="clip")
 
 
 def _without_accents(b: np.ndarray) -> np.ndarray:
     return mapped(tables().bare, b)
 
 
-def fold(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, offsets, source place): without disguises, case and accents; what is no letter or digit is a space."""
+def fold(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(code points, offsets, source place or None): without disguises, case and accents; what is no letter or digit is a space."""
 
     def whole(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         b, o, src = _bare(c, o)
@@ -416,6 +430,34 @@ def fold(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_MULT ** (i + 1) and its inverse ** i, modulo 2 ** 64, for the places of one step's code points."""
+    n = CHUNK_BYTES + 64
+    inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
+    power = np.multiply.accumulate(np.full(n, _MULT, np.uint64))
+    back = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, inverse, np.uint64))])
+    return power, back
+
+
+def _polynomials(f: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The sum of f[j] * _MULT ** (j - start + 1) over each stretch, modulo 2 ** 64."""
+    power, back = _powers()
+    n = len(power)
+    if len(f) <= n:
+        total = np.concatenate([[np.uint64(0)], np.cumsum(f * power[: len(f)], dtype=np.uint64)])
+        return (total[end] - total[start]) * back[start]
+    length = end - start
+    power = np.multiply.accumulate(np.full(int(length.max()), _MULT, np.uint64))
+    out = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), 100_000):  # a text beyond one step: stretch by stretch
+        s, k = start[a : a + 100_000], length[a : a + 100_000]
+        first = np.cumsum(k) - k
+        step = np.arange(int(k.sum())) - np.repeat(first, k)
+        out[a : a + 100_000] = np.add.reduceat(f[np.repeat(s, k) + step] * power[step], first)
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every bit of the input moves every bit of the output."""
     h = h.astype(np.uint64, copy=True)
@@ -428,28 +470,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 def words(cps: np.ndarray, off: np.ndarray) -> Words:
     """The words of stored texts: longest runs of letters and digits, compared without case, accents and disguises."""
     f, foff, src = fold(cps, off)
-    inside = f != 0x20
-    first = np.zeros(len(f) + 1, bool)
-    first[foff[:-1]] = True
-    prev = np.concatenate([[False], inside[:-1]])
-    opens = np.flatnonzero(inside & (first[:-1] | ~prev))
-    nxt = np.concatenate([inside[1:], [False]]) if len(f) else inside
-    last = np.concatenate([first[1:-1], [True]]) if len(f) else inside
-    closes = np.flatnonzero(inside & (last | ~nxt))
-    length = closes - opens + 1
-    if not len(opens):
+    if not len(f):
         e = np.zeros(0, np.int64)
         return Words(e, e, e, np.zeros(0, np.uint64), np.zeros(0, bool), e)
-    power = np.multiply.accumulate(np.full(int(length.max()), _MULT, np.uint64))
-    pos = np.arange(len(f)) - np.repeat(opens, np.diff(np.concatenate([opens, [len(f)]]))) if opens[0] == 0 else None
-    if pos is None:
-        lead = opens[0]
-        pos = np.concatenate([np.zeros(lead, np.int64), np.arange(lead, len(f)) - np.repeat(opens, np.diff(np.concatenate([opens, [len(f)]])))])
-    value = np.where(inside, f.astype(np.uint64) * power[np.minimum(pos, len(power) - 1)], np.uint64(0))
-    h = mix(np.add.reduceat(value, opens) + length.astype(np.uint64))
-    digit = np.add.reduceat(((f >= 0x30) & (f <= 0x39)).astype(np.int64), opens) > 0
-    row = rows_of(foff)[opens]
-    return Words(row, src[opens] - off[row], src[closes] + 1 - off[row], h, digit, length)
+    inside = f != 0x20
+    first = np.zeros(len(f) + 1, bool)
+    first[foff] = True
+    parts = first.copy()  # a word begins or ends only where inside changes, or a row does
+    parts[1:-1] |= inside[1:] != inside[:-1]
+    edges = np.flatnonzero(parts)
+    word = inside[edges[:-1]]
+    opens, ends = edges[:-1][word], edges[1:][word]
+    length = ends - opens
+    h = mix(_polynomials(f, opens, ends) + length.astype(np.uint64))
+    digits = np.cumsum((f - np.uint32(0x30)) < 10, dtype=np.int32)
+    digit = digits[ends - 1] - digits[opens] + ((f[opens] - np.uint32(0x30)) < 10) > 0
+    row = np.searchsorted(foff, opens, side="right") - 1
+    if src is None:
+        return Words(row, opens - off[row], ends - off[row], h, digit, length)
+    return Words(row, src[opens] - off[row], src[ends - 1] + 1 - off[row], h, digit, length)
 
 
 def word_strings(cps: np.ndarray, off: np.ndarray) -> list[list[str]]:
@@ -458,8 +497,8 @@ def word_strings(cps: np.ndarray, off: np.ndarray) -> list[list[str]]:
     return [s.split() for s in to_arrow(f, foff).to_pylist()]
 
 
-def fold_shape(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, offsets, source place): without disguises and accents, but with case and all visible signs."""
+def fold_shape(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(code points, offsets, source place or None): without disguises and accents, but with case and all visible signs."""
 
     def whole(c: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         b, o, src = _bare(c, o)

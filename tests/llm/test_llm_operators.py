@@ -44,6 +44,7 @@ def test_codepoints_round_trip_and_composition(texts):
         ("ｕ̛", "ư"),
         ("👨‍👩‍👧 ❤️ 1️⃣", None),
         ("a‍b", "ab"),
+        ("Ðà Nẵng, ÐT, ðồng Ɖ", "Đà Nẵng, ĐT, đồng Đ"),
         ("в 2025", None),
     ],
 )
@@ -69,6 +70,17 @@ def test_words_keep_their_places():
     assert list(v.hash) == list(w.hash)
 
 
+def test_words_of_texts_beyond_one_step(monkeypatch):
+    text = "Xin chào ＡＢ " * 4000 + "Ðồng"
+    whole = C.words(*C.to_codepoints(pa.array(["a", text, "b"])))
+    C._powers.cache_clear()
+    monkeypatch.setattr(C, "CHUNK_BYTES", 500)
+    parts = C.words(*C.to_codepoints(pa.array(["a", text, "b"])))
+    C._powers.cache_clear()
+    assert len(whole.hash) == 12_003 and all((getattr(whole, k) == getattr(parts, k)).all() for k in ("row", "start", "end", "hash", "digit", "length"))
+    assert whole.hash[-2] == C.words(*C.to_codepoints(pa.array(["đong"]))).hash[0]
+
+
 def brute_overlaps(evals, train):
     digits = lambda ws: {w for w in ws if any(c.isdigit() for c in w)}
     ew, tw = (C.word_strings(*C.to_codepoints(pa.array([t for _, t in x], pa.string()))) for x in (evals, train))

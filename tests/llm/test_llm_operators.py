@@ -188,9 +188,11 @@ def brute_leaks(docs, items):
     return {(d, i) for (d, _), w in zip(docs, words(docs)) for i, g in iw if d is not None and g & runs(w)}
 
 
-@pytest.mark.parametrize("shard", [60_000, 300])
-def test_leaks_equal_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "most"), [(60_000, 10**6), (300, 10**6), (200, 100)])
+def test_leaks_equal_brute_force(spark, monkeypatch, shard, most):
     monkeypatch.setattr(leakage, "SHARD_WORDS", shard)
+    monkeypatch.setattr(leakage, "MOST_WORDS", most)
+    monkeypatch.setattr(leakage, "FAN", 2)
     r = random.Random(6)
     vocabulary = [f"tu{i}" for i in range(150)] + ["số", "dòng", "bảng"]
     say = lambda n: [r.choice(vocabulary) for _ in range(n)]
@@ -235,6 +237,41 @@ def test_paraphrases_with_words_no_item_has(spark):
     assert only.count() == 0
 
 
+def test_planted_paraphrases_are_found(spark):
+    """Items of 20 words, each planted with up to three of twelve words in a row changed or taken out; the numbers stay."""
+    r = random.Random(12)
+    vocabulary = [f"{a}{b}o" for a in "bcdghklmnprstvx" for b in ["a", "e", "i", "u", "ua", "ie", "oa", "ai", "au", "ia", "ue", "oi", "ui", "eo", "iu", "ou", "ea", "ae", "ei", "aa"]]
+    items = [(i, [*(r.choice(vocabulary) for _ in range(19)), f"so{i}7"]) for i in range(60)]
+    docs, want = [], set()
+    for d in range(400):
+        ws = [r.choice([*vocabulary, "la", "le", "lo"]) for _ in range(r.randrange(30, 60))]
+        if d % 2:
+            i, words = items[r.randrange(60)]
+            passage = words[8:]  # its last word is the answer
+            for at in r.sample(range(10), r.randrange(1, 4)):
+                passage[at] = r.choice(["khac", "moi", r.choice(vocabulary)])
+            if r.random() < 0.3:
+                passage.insert(r.randrange(10), "chen")
+            ws[10:10] = passage
+            want.add((d, i))
+        docs.append((d, " ".join(ws)))
+    rows = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "doc_id", "text", spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string"), "item_id", "text").collect()
+    got = {(x["doc_id"], x["item_id"]) for x in rows}
+    assert len(got & want) >= 0.9 * len(want), len(got & want) / len(want)
+    assert len(got - want) <= 0.02 * len(want) and all(x["lcs"] >= 9 for x in rows)
+
+
+@pytest.mark.parametrize("shard", [60_000, 12])
+def test_paraphrases_do_not_depend_on_other_items(spark, monkeypatch, shard):
+    monkeypatch.setattr(leakage, "SHARD_WORDS", shard)
+    words = [f"w{'abcdefghijklmnop'[i]}" for i in range(14)]
+    doc = spark.createDataFrame([(1, " ".join([*words[:6], "foreign", *words[6:]]))], "d long, t string")
+    alone = [(7, " ".join(words[:12]))]
+    for items in (alone, [*alone, (8, "foreign " * 13)], [*alone, (9, " ".join(f"z{'abcdefghijklmnop'[i]}" for i in range(16)))]):
+        got = leakage.leaks(doc, "d", "t", spark.createDataFrame(items, "i long, t string"), "i", "t").collect()
+        assert [(x["item_id"], x["kind"], x["lcs"]) for x in got] == [(7, "paraphrase", 12)]
+
+
 def test_mixed_passages_equal_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(200):
@@ -246,7 +283,9 @@ def test_mixed_passages_equal_brute_force():
                 inside[a : a + leakage.RUN] = True
         want, off = set(), 0
         for n in length:
-            for a in range(off, off + max(n - leakage.RUN, 0) + 1, leakage.STRIDE):
+            for a in range(off, off + max(n - leakage.SPAN, 0) + leakage.BLOCK, leakage.BLOCK):
+                if a > off and a + leakage.SPAN >= off + n + leakage.BLOCK:
+                    continue
                 z = min(a + leakage.SPAN, off + n)
                 if known[a:z].sum() >= 9 and not inside[a:z].all():
                     want.add((a, z))
@@ -265,7 +304,9 @@ def test_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        assert leakage.common_subsequence(np.array(a, int), np.array(b, int)) == t[-1][-1]
+        if a and b:
+            lcs, there = leakage.common_subsequences(np.array([a], np.int32), np.array([b], np.int32))
+            assert lcs[0] == t[-1][-1] and [bool(int(there[0]) >> i & 1) for i in range(len(a))] == [x in b for x in a]
 
 
 def people(spark):

@@ -40,6 +40,7 @@ class Pipeline:
     cache: execute.QueryCache | None = None
     limit: int = execute.DEFAULT_LIMIT
     timeout: float | None = 60.0
+    lexicon: E.Lexicon = E.Lexicon()
     templates_folder: str | None = None  # where generated queries that gave rows are kept as templates
 
     def _domain(self, name: str) -> Domain:
@@ -62,7 +63,7 @@ class Pipeline:
         df = df.withColumn("_arbiter", route.arbitrate(F.filter(standing, lambda s: s.isNotNull())))
         df = df.withColumn("domain", F.lit(forced) if forced else F.col("_arbiter.name"))
         df = df.withColumn("intent", pick("domain", lambda d: best(d.intents)["name"])).withColumn("tables", pick("domain", lambda d: route.at_least(route.ranked(q, d.tables)) if d.tables else F.array().cast("array<string>")))
-        df = df.withColumn("entities", E.entities(q, F.col("domain"), self.as_of)).withColumn("cache_key", T.question_key(q, F.col("domain")))
+        df = df.withColumn("entities", E.entities(q, F.col("domain"), self.as_of, self.lexicon)).withColumn("cache_key", T.question_key(q, F.col("domain")))
         return df.drop("_ranking", "_arbiter")
 
     def _by_domain(self, column: str, make: Callable[[Domain], Column]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tamarind.functions import dates, entities
 from tamarind.functions import text as T
+from tamarind.functions.reading import Question
 
 TODAY = date(2026, 3, 26)
 
@@ -75,6 +76,27 @@ def test_staged(spark):
         ("từ 01/12/2025 đến 05/01/2026", "2025-12-01", "2026-01-05"),
         ("từ đầu năm đến nay", "2026-01-01", "2026-03-26"),
         ("cuối tuần", "2026-03-28", "2026-03-29"),
+        ("từ giữa tháng tới cuối tháng", "2026-03-11", "2026-03-31"),
+        ("ngày 30 tháng 1 năm kia", "2024-01-30", "2024-01-30"),
+        ("đầu quý 1", "2026-01-01", "2026-01-31"),
+        ("cuối quý 1", "2026-03-01", "2026-03-31"),
+        ("giữa quý 1 đến cuối quý 1", "2026-02-01", "2026-03-31"),
+        ("tháng này", "2026-03-01", "2026-03-31"),
+        ("năm kia", "2024-01-01", "2024-12-31"),
+        ("từ ngày cuối cùng của tháng về 10 ngày trước", "2026-03-22", "2026-03-31"),
+        ("tính từ ngày cuối của tháng trước về 3 ngày", "2026-02-26", "2026-02-28"),
+        ("chủ nhật tuần sau", "2026-04-05", "2026-04-05"),
+        ("tháng 5 2 năm trước", "2024-05-01", "2024-05-31"),
+        ("đầu quý này trong 5 ngày", "2026-01-01", "2026-01-05"),
+        ("trong năm", "2026-01-01", "2026-03-26"),
+        ("tháng trong năm 2024", "2024-01-01", "2024-12-31"),
+        ("15.02.2025", "2025-02-15", "2025-02-15"),
+        ("5/3/25", "2025-03-05", "2025-03-05"),
+        ("2024", "2024-01-01", "2024-12-31"),
+        ("3 months ago", "2025-12-01", "2026-02-28"),
+        ("2 tuần tới", "2026-03-26", "2026-04-09"),
+        ("năm năm trước", "2021-01-01", "2021-12-31"),
+        ("hôm kia", "2026-03-24", "2026-03-24"),
     ],
 )
 def test_time_parser(text, a, b):
@@ -91,7 +113,7 @@ def test_named_periods_agree_with_their_entity_form(spark):
     names = ["hôm nay", "hôm qua", "tuần này", "tuần trước", "tháng này", "tháng trước", "đầu tháng", "cuối tháng", "năm nay", "năm ngoái", "đầu năm", "cuối năm", "quý 2", "quý này", "quý trước"]
     df = spark.createDataFrame([(n, d) for n in names for d in (TODAY, date(2026, 1, 5), date(2024, 2, 29))], "x string, d date")
     for r in df.select("x", "d", dates.named_period(F.col("x"), F.col("d")).alias("p")).collect():
-        assert (r["p"]["start"], r["p"]["end"]) == entities._named(r["x"], r["d"]), r
+        assert (r["p"]["start"], r["p"]["end"]) == dates.spoken_period(Question(r["x"]), r["d"]), r
 
 
 def test_working_days(spark):
@@ -119,6 +141,64 @@ def test_entities(question, domain, want):
     assert {k: v for k, v in got.items() if k in want or not want} == want
 
 
+# Questions whose entities are known for the day 2026-03-26.
+KNOWN = [
+    ("Cho tôi xem giao dịch chuyển tiền tài khoản 123456789 trong tháng 3 năm 2025", "banking", {"account_no": "123456789", "start_date": "2025-03-01", "end_date": "2025-03-31", "transaction_type": "TRANSFER"}),
+    ("Tổng số tiền tôi đã nhận trong tuần này", "banking", {"start_date": "2026-03-23", "end_date": "2026-03-26"}),
+    ("Liệt kê các giao dịch trên 50 triệu trong năm 2024", "banking", {"amount_min": "50000000", "start_date": "2024-01-01", "end_date": "2024-12-31"}),
+    ("Giao dịch ngoại tệ USD của tài khoản 9876543210", "banking", {"account_no": "9876543210", "currency": "USD", "transaction_type": "FX"}),
+    ("Các giao dịch rút tiền qua ATM trong tháng trước", "banking", {"start_date": "2026-02-01", "end_date": "2026-02-28", "transaction_type": "WITHDRAWAL", "channel": "ATM"}),
+    ("Xem giao dịch từ 01/01/2025 đến 31/03/2025 có số tiền từ 5 triệu đến 20 triệu", "banking", {"start_date": "2025-01-01", "end_date": "2025-03-31", "amount_min": "5000000", "amount_max": "20000000"}),
+    ("Tài khoản 555666 đã chuyển bao nhiêu tiền trong 7 ngày gần nhất", "banking", {"account_no": "555666", "start_date": "2026-03-19", "end_date": "2026-03-26", "transaction_type": "TRANSFER"}),
+    ("Giao dịch thất bại trong quý 1 năm 2025", "banking", {"status": "FAILED", "start_date": "2025-01-01", "end_date": "2025-03-31"}),
+    ("Tổng tiền chuyển khoản qua internet banking hôm nay", "banking", {"start_date": "2026-03-26", "end_date": "2026-03-26", "transaction_type": "TRANSFER", "channel": "INTERNET_BANKING"}),
+    ("Xem lịch sử giao dịch tiết kiệm tài khoản 111222333", "banking", {"account_no": "111222333"}),
+    ("Danh sách nhân viên phòng kinh doanh", "hrm", {"department_name": "kinh doanh"}),
+    ("Xem lịch sử chấm công của nhân viên EMP001 trong tháng 3", "hrm", {"employee_id": "EMP001", "start_date": "2026-03-01", "end_date": "2026-03-31"}),
+    ("Nhân viên nào nghỉ phép hôm nay", "hrm", {"start_date": "2026-03-26", "end_date": "2026-03-26"}),
+    ("Tổng số ngày phép còn lại của nhân viên Nguyễn Văn An", "hrm", {"employee_name": "Nguyễn Văn An"}),
+    ("Liệt kê nhân viên có lương trên 15 triệu", "hrm", {"salary_min": "15000000"}),
+    ("Số nhân viên đi làm muộn trong tuần trước", "hrm", {"start_date": "2026-03-16", "end_date": "2026-03-22"}),
+    ("Xem đơn nghỉ phép chờ duyệt của phòng kỹ thuật", "hrm", {"department_name": "kỹ thuật"}),
+    ("Nhân viên nữ đang thử việc trong công ty", "hrm", {"gender": "FEMALE", "employment_status": "PROBATION"}),
+    ("Thống kê chấm công tháng 2 năm 2025 phòng nhân sự", "hrm", {"start_date": "2025-02-01", "end_date": "2025-02-28", "department_name": "nhân sự"}),
+    ("Ai có nhiều ngày nghỉ phép nhất năm nay", "hrm", {"start_date": "2026-01-01", "end_date": "2026-03-26"}),
+    ("Xme chấm côgn nhna viên EMP002 thágn 3", "hrm", {"employee_id": "EMP002"}),
+    ("Nhân viên EMP003 có bao nhiêu tiền trong tài khoản 1234567890?", "banking", {"account_no": "1234567890"}),
+    ("Liệt kê giao dịch từ 2 triệu đến 10 triệu đô la trong tháng này", "banking", {"amount_min": "2000000", "amount_max": "10000000", "start_date": "2026-03-01", "end_date": "2026-03-26"}),
+]
+
+
+@pytest.mark.parametrize(("question", "domain", "want"), KNOWN)
+def test_known_entities(question, domain, want):
+    got = entities.extract(question, domain, TODAY)
+    assert {k: got.get(k) for k in want} == want
+
+
+def test_entity_column_equals_single_extraction(spark):
+    df = spark.createDataFrame([(q, d) for q, d, _ in KNOWN] * 2 + [(None, None), ("", "x")], "q string, d string")
+    for r in df.select("q", "d", entities.entities(F.col("q"), F.col("d"), TODAY).alias("e")).collect():
+        assert r["e"] == entities.extract(r["q"], r["d"], TODAY)
+
+
+@pytest.mark.parametrize(
+    ("question", "domain", "want"),
+    [
+        ("chuyển cho Trần Thị Bích 20tr qua ngân hàng Đông Á hôm qua", "banking", {"recipient_name": "Trần Thị Bích", "amount": "20000000", "bank_name": "Đông Á", "start_date": "2026-03-25"}),
+        ("mã giao dịch FT2603A001 đã hủy, trên 5 tr - 20 tr", "banking", {"trans_id": "FT2603A001", "status": "CANCELLED", "amount_min": "5000000", "amount_max": "20000000"}),
+        ("ngân hàng vcb, tài khoản đích 123456", "banking", {"bank_name": "vcb", "to_account_no": "123456", "account_no": None}),
+        ("từ ngày 1 tháng 12 đến ngày 5 tháng 1 năm 2026", "banking", {"start_date": "2026-12-01", "end_date": "2026-01-05"}),
+        ("lương dưới 20 triệu ở vị trí kế toán trưởng", "hrm", {"salary_max": "20000000", "job_title": "kế toán trưởng"}),
+        ("2026-03 và 31/02/2026", "hrm", {"year_month": "2026-03", "start_date": "2026-03-01", "attendance_date": None}),
+        ("nhân viên nguyễn văn an", "hrm", {"employee_name": "nguyễn văn an"}),
+    ],
+)
+def test_entities_by_cue_and_type(question, domain, want):
+    lexicon = entities.Lexicon(frozenset({"vcb"}), frozenset({"nguyễn", "trần"}))
+    got = entities.extract(question, domain, TODAY, lexicon)
+    assert {k: got.get(k) for k in want} == want
+
+
 def test_money(spark):
     for x, want in (("10 triệu", "10000000"), ("1,5 triệu", "1500000"), ("2 tỷ", "2000000000"), ("1.500", "1500"), ("x", "x")):
         assert one(spark, x, lambda c: entities.money(F.col(c))) == want

@@ -1,17 +1,22 @@
 """Personal information inside free text: bootstrapped contextual extraction.
 
 Every text gives candidates by shape (numbers, e-mail addresses, house addresses, names) with the words around
-them. Some candidates are seeds: their own form settles what they are, or they are built from the names of
-known people. Seeds induce lexical patterns; Spark scores the graph of patterns and candidates round by
-round, each confident round labelling more candidates; and what lies in patterns of high confidence is
-found although nothing in it tells. Found occurrences are replaced by typed placeholders.
+them. Some candidates are seeds, some counter-seeds, by nothing but their own form and the names of known people: a
+number that is written like a telephone number, one that can't be one, a name that is built like known people's, a
+capitalised phrase that comes far more often than a name built like theirs would. Seeds induce lexical patterns; Spark scores
+the graph of patterns and candidates round by round, each confident round labelling more candidates; and what lies in
+patterns of high confidence is found although nothing in it tells. No list of cue words takes part: that 'SĐT' announces a
+telephone number and 'chi nhánh' no person is learned. Found occurrences are replaced by typed placeholders.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, reduce
 
 import pyarrow as pa
@@ -22,31 +27,31 @@ from tamarind.llm import codepoints as C
 from tamarind.plans.shared import keep_table
 from tamarind.plans.skew import skew_join
 
-#: Distinct words of known names the driver and every task may hold.
+#: Word places of known names that the driver and every task may hold: a word counts if it has one in so many of them.
 MOST_NAME_WORDS = 200_000
 #: A word of a known name counts from so many names on.
 LEAST_NAMES = 2
+#: A phrase is too frequent for a name if it has this share of the candidates (of those with, or without, words of known
+#: names), and, where known names tell how often it may come, so many times that. At most 2 / TOO_OFTEN phrases can be.
+TOO_OFTEN, TIMES = 1 / 1000, 10.0
+LEAST_OFTEN = 5
 ROUNDS, TRUST = 4, 0.3
 #: What a context's score starts from, and with what weight: little evidence leaves it there.
 PRIOR, PRIOR_WEIGHT = 0.4, 1.0
 #: A candidate without a label of its own is taken from this score on; a seed is dropped below LEAST_SEED.
 LEAST, LEAST_SEED = 0.7, 0.25
 
-# Words that say what follows, in folded form.
+# Titles, which are no part of a name, in folded form and as they are spelt.
 TITLES = frozenset("ong ba anh chi em co chu bac cau di ngai mr ms mrs miss dr".split())
 _TITLE_FORMS = frozenset("ông bà anh chị em cô chú bác cậu dì ngài mr ms mrs miss dr".split())
 ABBREVIATED = frozenset("mr ms mrs dr ths ts".split())
-PHONE_WORDS = frozenset("sdt dt phone tel mobile zalo alo dien thoai goi call so nhan lai so".split())
-ID_WORDS = frozenset("cccd cmnd can cuoc dinh danh passport chieu id".split())
-OTHER_NUMBER_WORDS = frozenset("stk khoan account statement job ghi record lo soat batch gd giao dich transaction ma phieu ticket mau form don emp nv hotline dai txn ref".split())
-PLACE_WORDS = frozenset("duong pho ngo ngach hem kiet nhanh dich quay phuong quan huyen xa tinh thon ap cho cau street road lane branch goi the vi dung kiem vu khoan hiem vay luong luu dong tuyen phong khoi ban".split())
-INNER_PLACE = frozenset("ngo ngach hem kiet duong phuong quan tang phong ward district room rooms lo version".split())
 STREET_CUES = r"(?:[Dd]uong|DUONG|[Pp]ho|PHO|[Nn]go|NGO|[Nn]gach|[Hh]em|[Kk]iet|[Dd]\.|[Dd]ai lo|[Qq]uoc lo)"
 UNIT = r"(?:[Pp]huong|[Qq]uan|[Tt]hanh pho|[Hh]uyen|[Tt]inh|[Xx]a|[Tt]hi xa|[Tt]hi tran|TP|[PFQTHX]|[Ww]ard|[Dd]istrict|[Cc]ity of)"
 
 _CAP = r"[A-Z][A-Za-z'’]*"
 _CAPS = rf"{_CAP}(?: {_CAP}){{0,4}}(?:(?:(?<=St)|(?<=Rd)|(?<=Ln)|(?<=Dr)|(?<=Ct)|(?<=Ave))\.(?=,))?"
-_ALLEY = r"(?:,? ?(?:[Nn]go|NGO|[Nn]gach|NGACH|[Hh]em|HEM|[Kk]iet|KIET) \d{1,4}[A-Za-z]?(?:/\d{1,4})*,?)"
+_ALLEY_WORDS = r"(?:[Nn]go|NGO|[Nn]gach|NGACH|[Hh]em|HEM|[Kk]iet|KIET)"
+_ALLEY = rf"(?:,? ?{_ALLEY_WORDS} \d{{1,4}}[A-Za-z]?(?:/\d{{1,4}})*,?)"
 ADDRESS = re.compile(rf"(?<![\w./,:\-#])(?P<no>\d{{1,4}}[A-Za-z]?(?:/\d{{1,4}}[A-Za-z]?){{0,4}})(?P<cue>{_ALLEY}*,? +(?:{STREET_CUES} *)?)(?P<street>{_CAPS})(?P<tail>(?:, ?(?:(?:{UNIT})\b\.? ?)?(?:{_CAPS}|\d{{1,3}}\b))*)")
 ENGLISH_STREET = re.compile(r"\b(?:Street|Road|Lane|Avenue|Drive|Court|Square|St|Rd|Ln|Ave|Dr|Ct|Sq)\b")
 TAIL_UNIT = re.compile(rf", ?{UNIT}\b\.? ?")
@@ -74,31 +79,51 @@ BULLET = re.compile(r"(?:^|\n)(?:- |\d+[.)] |(?!SDT|DT|Tel|ID|TEL|SD)[A-Za-z]{2,
 MARKS = {"number": "\ue001", "email": "\ue002", "address": "\ue003", "name": "\ue004"}
 FAMILY, MIDDLE, GIVEN = 1, 2, 4
 
-CANDIDATES = "doc_id long, start_pos long, end_pos long, family string, grp string, evidence int, c3 string, c2 string, c1 string, r1 string"
+CANDIDATES = "doc_id long, start_pos long, end_pos long, family string, grp string, evidence int, c3 string, c2 string, c1 string, r1 string, phrase string, model double"
+#: Words of an address before which a number is no house number: '12' in 'ngõ 12'.
+_INNER = re.compile(rf"(?:{STREET_CUES}|{_ALLEY_WORDS}|{UNIT}) ?$")
+#: Signs between a passport number and the name of its holder.
+_NEAR_NAME = 24
 
 
 def name_words(people: DataFrame, name: str) -> DataFrame:
-    """(word, role, n): the words of known people's names in lower case, by their place in the name."""
-    w = people.select(F.split(F.lower(F.trim(F.col(name))), r"\s+").alias("w")).where(F.size("w").between(2, 5))
+    """(word, role, n): the words of known people's names in lower case, by their place in the name; a single word is a given name."""
+    w = people.select(F.filter(F.split(F.lower(F.trim(F.col(name))), r"\s+"), lambda x: x != "").alias("w")).where(F.size("w") > 0)
     at = w.select(F.posexplode("w").alias("i", "word"), F.size("w").alias("n"))
-    role = F.when(F.col("i") == 0, FAMILY).when(F.col("i") == F.col("n") - 1, GIVEN).otherwise(MIDDLE)
+    role = F.when(F.col("i") == F.col("n") - 1, GIVEN).when(F.col("i") == 0, FAMILY).otherwise(MIDDLE)
     return at.select("word", role.alias("role")).groupBy("word", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lexicon(words: DataFrame, least: int = LEAST_NAMES) -> tuple[dict[str, int], dict[str, int]]:
-    """(accented word -> roles, folded word -> roles). The number of words is checked: names have few."""
-    rows = words.groupBy("word", "role").agg(F.sum("n").alias("n")).where(F.col("n") >= least).limit(MOST_NAME_WORDS + 1).collect()
-    if len(rows) > MOST_NAME_WORDS:
-        raise ValueError(f"more than {MOST_NAME_WORDS} words in known names")
-    accented: dict[str, int] = {}
-    folded: dict[str, int] = {}
+@dataclass
+class Lexicon:
+    """The words of known names: roles by accented and by folded word, and the share a folded word has in its role."""
+
+    accented: dict[str, int]
+    folded: dict[str, int]
+    share: dict[tuple[str, int], float]
+
+    def model(self, words: list[str]) -> float:
+        """How often a name of these folded words comes among names of so many words, by known people's, in either order; 0 if a word is unknown in its place."""
+        roles = [GIVEN] if len(words) == 1 else [FAMILY, *[MIDDLE] * (len(words) - 2), GIVEN]
+        return max(math.prod(self.share.get((w, r), 0.0) for w, r in zip(words, order)) for order in (roles, roles[::-1]))
+
+
+def lexicon(words: DataFrame, least: int = LEAST_NAMES) -> Lexicon:
+    """The words that at least `least` known names have, and one in MOST_NAME_WORDS of all word places: so there are no more than that."""
+    each = words.groupBy("word", "role").agg(F.sum("n").alias("n"))
+    total = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = each.where(F.col("n") >= max(least, -(-total // MOST_NAME_WORDS))).collect()
+    out, all_of, of = Lexicon({}, {}, {}), Counter(), Counter()
     for r in rows:
         w = unicodedata.normalize("NFC", r["word"])
         plain = _fold(w)
-        folded[plain] = folded.get(plain, 0) | r["role"]
+        out.folded[plain] = out.folded.get(plain, 0) | r["role"]
         if plain != w:
-            accented[w] = accented.get(w, 0) | r["role"]
-    return accented, folded
+            out.accented[w] = out.accented.get(w, 0) | r["role"]
+        all_of[r["role"]] += r["n"]
+        of[plain, r["role"]] += r["n"]
+    out.share = {k: n / all_of[k[1]] for k, n in of.items()}
+    return out
 
 
 @lru_cache(100_000)
@@ -106,8 +131,8 @@ def _fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.lower().replace("đ", "d")) if not unicodedata.combining(c))
 
 
-def _left(text: str, start: int, before: tuple[int, str] | None) -> list[str]:
-    """Up to three tokens before a place, inside its sentence; a candidate there is one token."""
+def _left(text: str, start: int, before: tuple[int, str] | None, block: bool) -> list[str]:
+    """Up to three tokens before a place, inside its sentence; a candidate there is one token. In a block a line goes on from a candidate that ends the line before, as numbers do under a name."""
     low = max(0, start - 48)
     head = ""
     if before and before[0] >= low:
@@ -121,7 +146,7 @@ def _left(text: str, start: int, before: tuple[int, str] | None) -> list[str]:
             cut = m
     line = gap.rfind("\n")
     # A line begins a sentence, unless the line before ends with a comma (a salutation) or is a candidate itself.
-    if line >= 0 and not (cut and cut.end() > line) and not gap[:line].endswith(",") and not (head and gap == "\n"):
+    if line >= 0 and not (cut and cut.end() > line) and not gap[:line].endswith(",") and not (block and head and gap == "\n"):
         head, gap = "^ ", gap[line + 1 :]
     elif cut:
         head, gap = "^ ", gap[cut.end() :]
@@ -163,8 +188,8 @@ def _number(raw: str) -> tuple[str, int] | None:
         return ("d10", 0) if d.startswith("84") or d[0] == "0" else ("other", -1)
     if len(d) == 12:
         return ("d12", (1 if separated else 0) if d[0] == "0" else -1)
-    if len(d) == 9:
-        return ("d9", 0)
+    if len(d) == 9:  # old identity numbers begin with the number of a province
+        return ("d9", (1 if d[0] in "0123" else 0) if not separated else 0)
     return ("other", -1)
 
 
@@ -284,17 +309,17 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             yield e.span()
 
 
-def _scan_text(text: str, original, accented: dict[str, int], folded: dict[str, int], starts: re.Pattern) -> list[tuple]:
-    """(start, end, family, group, evidence, c3, c2, c1, r1) of all candidates of one folded text."""
+def _scan_text(text: str, original, names: Lexicon, starts: re.Pattern) -> list[tuple]:
+    """(start, end, family, group, evidence, c3, c2, c1, r1, phrase, model) of all candidates of one folded text."""
     spans: list[tuple[int, int, str, str, int]] = []
-    taken: list[tuple[int, int]] = []
     spans += [(a, b, "email", "email", 1) for a, b in _emails(text)]
     for m in ADDRESS.finditer(text):
         end = m.end()
         while text[end - 1] in ".,":
             end -= 1
         sure = "/" in m["no"] or m["no"][-1].isalpha() or m["cue"].strip(" ,") or ENGLISH_STREET.search(m["street"]) or (m["tail"] and TAIL_UNIT.search(m["tail"]))
-        spans.append((m.start(), end, "address", "address", 1 if sure else 0))
+        inner = _INNER.search(text, max(0, m.start() - 12), m.start())
+        spans.append((m.start(), end, "address", "address", -1 if inner else 1 if sure else 0))
     for m in NUMBER.finditer(text):
         if kind := _number(m.group()):
             spans.append((*m.span(), "number", *kind))
@@ -306,43 +331,37 @@ def _scan_text(text: str, original, accented: dict[str, int], folded: dict[str,
         if not clear or s[0] >= clear[-1][1]:
             clear.append(s)
     taken = [(s[0], s[1]) for s in clear if s[2] != "number"]
-    clear += [(a, b, "name", "name", e) for a, b, e in _names(text, original, accented, folded, starts, taken)]
+    clear += [(a, b, "name", "name", e) for a, b, e in _names(text, original, names.accented, names.folded, starts, taken)]
     clear.sort()
     out = []
     for k, (a, b, family, group, evidence) in enumerate(clear):
         if family == "email":  # its form is enough
-            out.append((a, b, family, group, evidence, "", "", "", ""))
+            out.append((a, b, family, group, evidence, "", "", "", "", None, 0.0))
             continue
         before = (clear[k - 1][1], MARKS[clear[k - 1][2]]) if k and clear[k - 1][1] <= a else None
         after = (clear[k + 1][0], MARKS[clear[k + 1][2]]) if k + 1 < len(clear) else None
-        c = _left(text, a, before)
-        near = set(c)
-        if family == "number" and group != "other" and evidence >= 0 or family == "number" and group == "d10" and evidence == 1:
-            if near & OTHER_NUMBER_WORDS and not near & ID_WORDS:
-                evidence = -1
-            elif group in ("d12", "d9", "pp") and near & ID_WORDS:
-                evidence = 1
-            elif group == "d10" and evidence == 0 and near & PHONE_WORDS:
-                evidence = 1
-        elif family == "name":
-            if c[2] in PLACE_WORDS or (c[2] == "." and c[1] in ("p", "f", "q", "tp", "d", "st")):
-                evidence = -1
-        elif family == "address" and c[2] in INNER_PLACE:
-            evidence = -1
-        out.append((a, b, family, group, evidence, *c, _right(text, b, after)))
+        phrase, model = None, 0.0
+        if family == "name":
+            words = text[a:b].lower().split()
+            phrase, model = " ".join(words), names.model(words)
+        elif group == "pp" and k + 1 < len(clear) and clear[k + 1][2] == "name":
+            # A passport number is a seed if a name follows soon in its sentence.
+            gap = text[b : clear[k + 1][0]]
+            evidence = 1 if len(gap) <= _NEAR_NAME and not ENDS & set(gap) else 0
+        out.append((a, b, family, group, evidence, *_left(text, a, before, family != "name"), _right(text, b, after), phrase, model))
     return out
 
 
-_ARROW = pa.schema([("doc_id", pa.int64()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("family", pa.string()), ("grp", pa.string()), ("evidence", pa.int32()), ("c3", pa.string()), ("c2", pa.string()), ("c1", pa.string()), ("r1", pa.string())])
+_ARROW = pa.schema([("doc_id", pa.int64()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("family", pa.string()), ("grp", pa.string()), ("evidence", pa.int32()), ("c3", pa.string()), ("c2", pa.string()), ("c1", pa.string()), ("r1", pa.string()), ("phrase", pa.string()), ("model", pa.float64())])
 
 
-def candidates(df: DataFrame, doc_id: str, text: str, names: tuple[dict[str, int], dict[str, int]]) -> DataFrame:
+def candidates(df: DataFrame, doc_id: str, text: str, names: Lexicon) -> DataFrame:
     """All candidates with their places in the stored text (code points, from 1, end exclusive) and their contexts."""
     shared = df.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        accented, folded = shared.value
-        starts = name_starts(folded)
+        names = shared.value
+        starts = name_starts(names.folded)
         for whole in batches:
             for b in C.pieces(whole, 1):
                 docs, stored = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -354,7 +373,7 @@ def candidates(df: DataFrame, doc_id: str, text: str, names: tuple[dict[str, int
                         original = lambda x, y, own=own: own[x:y].lower()
                     else:
                         original = lambda x, y, own=own, place=place: unicodedata.normalize("NFC", own[place[x] : (place[y] if y < len(place) else len(own))]).strip().lower()
-                    for x, y, *rest in _scan_text(shape, original, accented, folded, starts):
+                    for x, y, *rest in _scan_text(shape, original, names, starts):
                         if place is None:
                             rows.append((doc, x + 1, y + 1, *rest))
                         else:
@@ -375,6 +394,8 @@ PATTERNS = (
     (("c1", "r1"), 1.5, 0.3),
     (("c1",), 0.1, 1.0),
 )
+#: Groups of numbers that may be personal.
+NUMBERS = ("d10", "d12", "d9", "pp")
 _CONTEXT = ["grp", "c3", "c2", "c1", "r1"]
 
 
@@ -382,20 +403,39 @@ def signature() -> Column:
     return F.xxhash64(*_CONTEXT)
 
 
+def too_often(found: DataFrame) -> DataFrame:
+    """(phrase): name candidates that come far more often than a name would: at most 2 / TOO_OFTEN of them.
+
+    Phrases of known names' words may come TIMES as often as these names tell; of others the share alone decides.
+    """
+    each = found.where("family = 'name'").groupBy("phrase", "model").agg(F.count(F.lit(1)).alias("n"))
+    like = (F.col("model") > 0).alias("like")
+    each = each.withColumn("like", like)
+    total = each.groupBy("like").agg(F.sum("n").alias("all"))
+    share = F.col("n") / F.col("all")
+    many = (F.col("n") >= LEAST_OFTEN) & (share >= TOO_OFTEN) & (share > TIMES * F.col("model"))
+    return each.join(F.broadcast(total), "like").where(many).select("phrase")
+
+
 def score_contexts(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(sig, score): how likely a candidate in this context is of its group's kind.
 
     Candidates with one context are one node of the graph; its patterns are the other side. In each round a pattern's
     score is the share of its labelled candidates that are of the kind, candidates labelled by the round before
-    counting TRUST if their score is decided, all other unlabelled ones the pattern's doubt against it; a context's score is the mean of its patterns' scores, by weight
-    and evidence, and of PRIOR.
+    counting TRUST if their score is decided, all other unlabelled ones the pattern's doubt against it; a context's score is
+    the mean of its patterns' scores, by weight and evidence, and of PRIOR. A number that by its form is none of any kind
+    counts against its patterns for all kinds of numbers: what announces account numbers announces no other.
     """
     nodes = found.groupBy(*_CONTEXT).agg(F.count_if(F.col("evidence") == 1).alias("pos"), F.count_if(F.col("evidence") == -1).alias("neg"), F.count_if(F.col("evidence") == 0).alias("unk")).withColumn("sig", signature())
     # At the start of a sentence there is nothing further left, so patterns without the word after say no more than ('c1',).
     at_start = F.col("c2") == ""
-    keys = F.array(*[F.when(F.lit(len(parts) == 1 or "r1" in parts) | ~at_start, F.struct(F.xxhash64(F.lit(i), "grp", *parts).alias("p"), F.lit(w).alias("w"), F.lit(d).alias("d"))) for i, (parts, w, d) in enumerate(PATTERNS)])
-    edges = nodes.select("sig", "pos", "neg", "unk", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("e"))
-    edges = keep_table(edges.select("sig", "pos", "neg", "unk", "e.p", "e.w", "e.d"))
+    pattern = lambda i, parts, w, d: F.when(F.lit(len(parts) == 1 or "r1" in parts) | ~at_start, F.struct(F.xxhash64(F.lit(i), "grp", *parts).alias("p"), F.lit(w).alias("w"), F.lit(d).alias("d")))
+    keys = F.filter(F.array(*[pattern(i, *x) for i, x in enumerate(PATTERNS)]), lambda k: k.isNotNull())
+    of = lambda df: df.select("sig", "pos", "neg", "unk", F.explode(keys).alias("e")).select("sig", "pos", "neg", "unk", "e.p", "e.w", "e.d")
+    edges = keep_table(of(nodes))
+    others = F.array_except(F.array(*map(F.lit, NUMBERS)), F.array("grp"))
+    foreign = nodes.where(F.col("grp").isin(*NUMBERS, "other") & (F.col("neg") > 0)).withColumn("grp", F.explode(others)).withColumns({"pos": F.lit(0), "unk": F.lit(0)})
+    against = keep_table(of(foreign).groupBy("p").agg(F.sum("neg").alias("neg")))
     scores = None
     for _ in range(rounds):
         if scores is None:
@@ -405,7 +445,8 @@ def score_contexts(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             gain = F.when(F.col("score") >= 0.8, F.col("unk") * TRUST * F.col("score")).otherwise(F.lit(0.0))
             joined = edges.join(scores, "sig", "left")
             labelled = joined.withColumn("all", F.col("pos") + F.col("neg") + decided).withColumn("hit", F.col("pos") + gain).drop("score")
-        patterns = labelled.groupBy("p").agg(F.sum("hit").alias("hit"), F.sum("all").alias("all")).where(F.col("all") > 0)
+        every = labelled.select("p", "hit", "all").unionByName(against.select("p", F.lit(0.0).alias("hit"), F.col("neg").cast("double").alias("all")))
+        patterns = every.groupBy("p").agg(F.sum("hit").alias("hit"), F.sum("all").alias("all")).where(F.col("all") > 0)
         patterns = patterns.select("p", ((F.col("hit") + 0.05) / (F.col("all") + 0.1)).alias("ps"), F.log1p("all").alias("pw"))
         by = skew_join(edges, patterns, ["p"]).where(F.col("ps").isNotNull())
         scores = keep_table(by.groupBy("sig").agg(((F.sum(F.col("w") * F.col("pw") * F.col("ps")) + PRIOR * PRIOR_WEIGHT) / (F.sum(F.col("w") * F.col("pw")) + PRIOR_WEIGHT)).alias("score")))
@@ -417,17 +458,20 @@ def kind_of() -> Column:
     return F.when(group == "d10", "phone").when(group.isin("d12", "d9", "pp"), "id_number").otherwise(group)
 
 
-def occurrences(df: DataFrame, doc_id: str, text: str, names: tuple[dict[str, int], dict[str, int]]) -> DataFrame:
+def occurrences(df: DataFrame, doc_id: str, text: str, names: Lexicon) -> DataFrame:
     """(doc_id, kind, start_pos, end_pos): what is personal, in code points of the stored text from 1, end exclusive.
 
     Null and empty texts, and null ids, give nothing. Copies of a text give the same places for each id. Whole
     texts are read, of any length. Candidates are kept as a table in the shared folder, since patterns and
-    result both read them.
+    result both read them. A seed stays unless its context speaks against it; all others, phrases that are too frequent
+    for names among them, need a context of high confidence.
     """
-    found = keep_table(candidates(df, doc_id, text, names).where("evidence >= 0 OR grp <> 'other'"))
-    scored = skew_join(found.withColumn("sig", signature()), score_contexts(found), ["sig"])
+    found = keep_table(candidates(df, doc_id, text, names))
+    often = F.broadcast(keep_table(too_often(found)).withColumn("often", F.lit(True)))
+    found = found.join(often, "phrase", "left").withColumn("evidence", F.when(F.col("often"), -1).otherwise(F.col("evidence")))
+    scored = skew_join(found.where("evidence >= 0 OR often").withColumn("sig", signature()), score_contexts(found), ["sig"])
     sure = (F.col("evidence") == 1) & (F.coalesce("score", F.lit(1.0)) >= LEAST_SEED)
-    unseen = (F.col("evidence") == 0) & (F.col("score") >= LEAST)
+    unseen = (F.col("evidence") < 1) & (F.col("score") >= LEAST)
     kept = scored.where((F.col("family") == "email") | sure | unseen)
     return kept.select("doc_id", kind_of().alias("kind"), "start_pos", "end_pos").distinct()
 
@@ -458,6 +502,6 @@ def masked(df: DataFrame, doc_id: str, text: str, found: DataFrame) -> DataFrame
     return rows.mapInArrow(run, "doc_id long, text string")
 
 
-def known_names(*tables: tuple[DataFrame, str]) -> tuple[dict[str, int], dict[str, int]]:
+def known_names(*tables: tuple[DataFrame, str]) -> Lexicon:
     """The lexicon of several tables of people: (table, name column) each."""
     return lexicon(reduce(DataFrame.unionByName, [name_words(t, c) for t, c in tables]))

@@ -334,7 +334,7 @@ def test_personal_information(spark):
         n, tail = names[i], f"{r.randrange(10**6):06d}"
         phone = [f"063{tail[0]}{tail}", f"063{tail[0]} {tail[:3]} {tail[3:]}", f"+84 63{tail[0]} {tail}", f"(063) {tail[:3]} {tail[3:]}7"][i % 4]
         put(4 * i, ["Liên hệ chị ", ("name", n), ", điện thoại ", ("phone", phone), ", nhận tại ", ("address", f"{i + 1}/2 đường Cầu Nan, phường Mỏ Hạc"), "; gửi ", ("email", [f"a.b{i}@mail.example", f"ab{i} (at) mail.example", f"ab{i}[at]mail[dot]example"][i % 3]), "."])
-        put(4 * i + 1, ["CCCD: ", ("id_number", f"0{i % 9}1{tail}123"), f"\nSTK {r.choice('123456789')}{tail}123 ở chi nhánh Trần Hữu Kha, job 0{tail}123. Tổng đài 1900 {1000 + i}\n", "Assigned to ", ("name", ["Corbin Ostrova", " ".join(reversed(n.split()[::2]))][i % 2]), "; done"])
+        put(4 * i + 1, ["CCCD: ", ("id_number", [f"0{i % 9}1{tail}123", f"0{i % 9}1 {tail[:3]} {tail[3:]} 123"][i % 3 == 0]), f"\nSTK {r.choice('123456789')}{tail}123 ở chi nhánh Trần Hữu Kha, job 0{tail}123. Tổng đài 1900 {1000 + i}\n", "Assigned to ", ("name", [f"{'CDFGHJKLMNP'[i % 11]}orbin {'BCDFGHJKLMNPQ'[i % 13]}ostrova", " ".join(reversed(n.split()[::2]))][i % 2]), "; done"])
         put(4 * i + 2, ["Tuyến đường ", "Phạm Duy Lộc thi công, lô 4", tail, "55512 chậm. Biểu mẫu B", tail, "1 thay mẫu cũ"])
         put(4 * i + 3, [unicodedata.normalize("NFD", "Người nhận ") , ("name", unicodedata.normalize("NFD", n)), ", xin chờ"])
     rows += [(9000, None), (9001, ""), (None, "SĐT: 0631234567")]
@@ -346,3 +346,27 @@ def test_personal_information(spark):
     assert masked[0].startswith("Liên hệ chị [NAME], điện thoại [PHONE], nhận tại [ADDRESS]; gửi [EMAIL]")
     assert masked[2] == rows[2][1] and masked[9000] is None and masked[9001] == ""
     assert personal.occurrences(df.limit(0), "doc_id", "text", lexicon).count() == 0
+
+
+def test_personal_contexts_are_learned_not_listed(spark):
+    """Cue words that no list could hold announce numbers and names; the same shapes behind others are left."""
+    names, lexicon = people(spark)
+    rows, want = [], set()
+    for i in range(90):
+        tail = f"{i * 7919 % 10**6:06d}"
+        rows.append((3 * i, f"Zulkor 063{tail[0]}{tail} nha"))
+        rows.append((3 * i + 1, f"Plint 063{tail[0]}{tail} nha" if i % 2 else f"Plint 763{tail[0]}{tail} nha"))
+        if i % 2:
+            rows[-2] = (3 * i, f"Zulkor 063{tail[0]} {tail[:3]} {tail[3:]} nha")
+        want.add((3 * i, "phone", 8))
+        rows.append((3 * i + 2, f"Vask {names[i % 60]} rồi. Thuộc wuno Phạm Duy Lộc đây"))
+        want.add((3 * i + 2, "name", 6))
+    got = {(x["doc_id"], x["kind"], x["start_pos"]) for x in personal.occurrences(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", lexicon).collect()}
+    assert got == want, (sorted(got - want)[:5], sorted(want - got)[:5])
+
+
+def test_lexicon_is_bounded_by_its_definition(spark, monkeypatch):
+    monkeypatch.setattr(personal, "MOST_NAME_WORDS", 10)
+    df = spark.createDataFrame([(f"An{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} Lộc",) for i in range(100)] + [("Lộc",), (None,), (" ",)], "n string")
+    found = personal.known_names((df, "n"))
+    assert list(found.folded) == ["loc"] and found.model(["loc"]) == 1.0 and found.model(["x", "loc"]) == 0.0

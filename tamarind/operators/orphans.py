@@ -1,21 +1,24 @@
 """References to records that do not exist, kept as incremental state.
 
-The state has three tables: `index`, one row for each parent key (earliest load, deletion); `pending`, the references
-whose parent has not been seen; `found`, what is known for good. One step takes the references and parents of
-a time slice: new references probe the index, arriving parents resolve waiting references (which then were
-'late', or 'deleted' already), and a deletion reopens the live references of its key, counted per period.
-Steps may come from a batch loop (track) or from a stream's foreachBatch (tamarind.streaming.orphans).
+The state has: `index`, one row for each parent key (earliest load, earliest deletion); `pending`, the references whose parent
+has not been seen; `parts`, the references whose parent is known, each with why it is a case, if it is one, appended
+step by step; and `reopened`, which keys a later parent row changed. One step takes references and parents: new references
+probe the index, arriving parents resolve waiting references, and a parent row that changes a key, such as a deletion,
+reopens the references of that key, which are then judged anew. So the result does not depend on how rows are cut into
+steps. Steps may come from a batch loop (track) or from a stream's foreachBatch (tamarind.streaming.orphans).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarind.plans.shared import keep_table
-from tamarind.plans.skew import skew_join
+from tamarind.plans.skew import hot_keys, skew_join
 
 KEYS = ["relation", "key"]
 
@@ -44,12 +47,16 @@ def parents(df: DataFrame, relation: str, key: str, loaded: str, deleted: str |
 
 @dataclass
 class State:
-    """index: relation, key, parent_loaded, deleted_at; pending: references; found: references with why; live: relation, key, period, n."""
+    """index: relation, key, parent_loaded, deleted_at; pending: references; parts: (step, references with why); reopened: relation, key, step."""
 
     index: DataFrame
     pending: DataFrame
-    found: DataFrame
-    live: DataFrame
+    parts: list[tuple[int, DataFrame]] = field(default_factory=list)
+    reopened: DataFrame | None = None
+
+    @property
+    def step(self) -> int:
+        return max((s for s, _ in self.parts), default=0)
 
 
 def _reason() -> Column:
@@ -59,27 +66,49 @@ def _reason() -> Column:
 
 def empty(refs: DataFrame, pars: DataFrame) -> State:
     none = F.lit(False)
-    return State(pars.where(none), refs.where(none), refs.withColumn("why", F.lit("")).where(none), refs.where(none).groupBy(*KEYS, "period").agg(F.count(F.lit(1)).alias("n")))
+    return State(pars.where(none), refs.where(none))
+
+
+def known(state: State, hot: DataFrame | None = None) -> DataFrame:
+    """The references whose parent is known, each once, with why as things stand (null if it is no case).
+
+    A row counts unless its key was reopened after it was written: then a later part has it again.
+    """
+    rows = reduce(DataFrame.unionByName, [df.withColumn("_step", F.lit(s)) for s, df in state.parts])
+    if state.reopened is not None:
+        last = state.reopened.groupBy(*KEYS).agg(F.max("step").alias("_last"))
+        rows = skew_join(rows, last, KEYS, hot).where(F.col("_last").isNull() | (F.col("_step") >= F.col("_last"))).drop("_last")
+    return rows.drop("_step")
 
 
-def advance(state: State, refs: DataFrame, pars: DataFrame, keep_live: bool = False) -> State:
-    """The state after one slice of references and parent rows.
+def advance(state: State, refs: DataFrame, pars: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: keep_table(df), hot: DataFrame | None = None) -> State:
+    """The state after one step of references and parent rows.
 
-    Parents are merged by key (earliest load, earliest deletion), new and waiting references probe the merged
-    index once, under a skew-safe join. A null deletion never wins over a real one. An empty slice changes
-    nothing. keep_live also counts the resolved references by key and period, which reopened() needs.
+    Parents are merged by key (earliest load, earliest deletion); a null never wins over a time. New and waiting references
+    probe the merged index once, under a skew-safe join, and so do those of keys that the step changed. What was written
+    before stays as it is. `hot` names the hot keys of the references, where the caller knows them. An empty step changes nothing.
     """
-    index = keep_table(state.index.unionByName(pars).groupBy(*KEYS).agg(F.min("parent_loaded").alias("parent_loaded"), F.min("deleted_at").alias("deleted_at")))
-    cols = refs.columns
-    known = F.col("parent_loaded").isNotNull()
-    probed = skew_join(state.pending.unionByName(refs), index, KEYS).select(*cols, known.alias("known"), F.when(known, _reason()).alias("why"))
-    # References that are fine are dropped before anything is written, unless their counts are wanted.
-    probed = keep_table(probed if keep_live else probed.where(~F.col("known") | F.col("why").isNotNull()))
-    live = state.live
-    if keep_live:
-        fine = probed.where(F.col("known") & (F.coalesce("why", F.lit("late")) == "late")).groupBy(*KEYS, "period").agg(F.count(F.lit(1)).alias("n"))
-        live = keep_table(live.unionByName(fine).groupBy(*KEYS, "period").agg(F.sum("n").alias("n")))
-    return State(index, probed.where(~F.col("known")).select(cols), state.found.unionByName(probed.where("why IS NOT NULL").select(*cols, "why")), live)
+    step, cols = state.step + 1, refs.columns
+    new = pars.groupBy(*KEYS).agg(F.min("parent_loaded").alias("parent_loaded"), F.min("deleted_at").alias("deleted_at"))
+    was = state.index.select(*KEYS, F.lit(True).alias("_there"), F.col("parent_loaded").alias("_loaded"), F.col("deleted_at").alias("_deleted"))
+    merged = new.join(was, KEYS, "full").select(
+        *KEYS,
+        F.least("parent_loaded", "_loaded").alias("parent_loaded"),
+        F.least("deleted_at", "_deleted").alias("deleted_at"),
+        (F.col("_there") & ~(F.least("parent_loaded", "_loaded").eqNullSafe(F.col("_loaded")) & F.least("deleted_at", "_deleted").eqNullSafe(F.col("_deleted")))).alias("_changed"),
+    )
+    index = keep(merged, "index")
+    changed = index.where("_changed").select(*KEYS)
+    waiting = state.pending.unionByName(refs)
+    reopened = state.reopened
+    if state.parts:
+        reopened = changed.withColumn("step", F.lit(step))
+        reopened = keep(reopened if state.reopened is None else state.reopened.unionByName(reopened), "reopened")
+        waiting = waiting.unionByName(known(state, hot).join(changed, KEYS, "left_semi").select(cols))
+    probed = skew_join(waiting, index.drop("_changed"), KEYS, hot)
+    there = F.col("parent_loaded").isNotNull()
+    probed = keep(probed.select(*cols, there.alias("known"), F.when(there, _reason()).alias("why")), "probed")
+    return State(index.drop("_changed"), probed.where(~F.col("known")).select(cols), [*state.parts, (step, probed.where("known").select(*cols, "why"))], reopened)
 
 
 def bounds(frames: list[DataFrame], cols: list[str], slices: int) -> list:
@@ -92,37 +121,44 @@ def bounds(frames: list[DataFrame], cols: list[str], slices: int) -> list:
     return [low + (high - low) * k / slices for k in range(1, slices)]
 
 
-def track(refs: DataFrame, pars: DataFrame, slices: int = 3, keep_live: bool = False, each=None) -> State:
+def track(refs: DataFrame, pars: DataFrame, slices: int = 3, each=None) -> State:
     """Runs the state over `slices` of load time, in order; `each(until, state)` sees the state after each slice.
 
     Rows without a load time are in the first slice. A reference without one is never late or deleted, only missing.
     A parent row without one is there from the start, but says nothing about when: other rows of its key do, if any.
+    Both inputs are written once, parted by slice, so each slice reads its own rows only.
     """
     refs, pars = keep_table(refs), keep_table(pars)
-    marks = [None, *bounds([refs, pars], ["child_loaded", "parent_loaded"], slices), None]
+    marks = bounds([refs, pars], ["child_loaded", "parent_loaded"], slices)
+    at = lambda c: sum((F.when(F.col(c) >= F.lit(m), 1).otherwise(0) for m in marks), F.lit(0)).cast("int")
+    hot = keep_table(hot_keys(refs, KEYS))
+    parted = [keep_table(f.withColumn("_slice", at(c)), "_slice") for f, c in ((refs, "child_loaded"), (pars, "parent_loaded"))] if marks else [f.withColumn("_slice", F.lit(0)) for f in (refs, pars)]
     state = empty(refs, pars)
-    for low, high in zip(marks, marks[1:]):
-        part = lambda f, c: f.where((F.col(c).isNull() if low is None else F.lit(False)) | (F.lit(True) if low is None else F.col(c) >= F.lit(low)) & (F.lit(True) if high is None else F.col(c) < F.lit(high)))  # noqa: B023, E731
-        state = advance(state, part(refs, "child_loaded"), part(pars, "parent_loaded"), keep_live)
+    for k in range(len(marks) + 1):
+        state = advance(state, *[f.where(F.col("_slice") == k).drop("_slice") for f in parted], hot=hot)
         if each:
-            each(high, state)
+            each(marks[k] if k < len(marks) else None, state)
     return state
 
 
 def _untimed(state: State) -> DataFrame:
     """The references still pending whose parent is there without a load time, with its deletion."""
-    return state.pending.join(state.index.where("parent_loaded IS NULL"), KEYS)
+    return state.pending.join(state.index.where("parent_loaded IS NULL").drop("parent_loaded"), KEYS)
 
 
 def orphans(state: State) -> DataFrame:
-    """(relation, child_id, period, why) at the end: the found cases, and what is still pending as 'missing'.
+    """(relation, child_id, period, why): the cases among references with a known parent, and what is still pending as 'missing'.
 
     Pending references whose parent has no load time aren't missing; they are cases only if it was deleted before they loaded.
     """
     cols = ["relation", "child_id", "period", "why"]
     missing = state.pending.join(state.index.select(*KEYS), KEYS, "left_anti").withColumn("why", F.lit("missing"))
     gone = _untimed(state).where(F.col("deleted_at") <= F.col("child_loaded")).withColumn("why", F.lit("deleted"))
-    return state.found.select(cols).unionByName(missing.select(cols)).unionByName(gone.select(cols)).distinct()
+    found = [missing.select(cols), gone.select(cols)]
+    if state.parts:
+        cases = State(state.index, state.pending, [(s, p.where("why IS NOT NULL")) for s, p in state.parts], state.reopened)
+        found.append(known(cases).select(cols))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def snapshot(state: State) -> DataFrame:
@@ -133,6 +169,7 @@ def snapshot(state: State) -> DataFrame:
 def reopened(state: State) -> DataFrame:
     """(relation, period, n): references that were fine when they loaded and whose parent has been deleted since."""
     gone = state.index.where(F.col("deleted_at").isNotNull()).select(*KEYS)
-    untimed = _untimed(state).where(F.col("deleted_at").isNotNull() & F.coalesce(F.col("deleted_at") > F.col("child_loaded"), F.lit(True)))
-    live = state.live.unionByName(untimed.groupBy(*KEYS, "period").agg(F.count(F.lit(1)).alias("n")))
-    return live.join(gone, KEYS, "left_semi").groupBy("relation", "period").agg(F.sum("n").alias("n"))
+    fine = _untimed(state).where(F.coalesce(F.col("deleted_at") > F.col("child_loaded"), F.col("deleted_at").isNotNull())).select(*KEYS, "period")
+    if state.parts:
+        fine = fine.unionByName(known(state).where(F.coalesce("why", F.lit("late")) == "late").join(gone, KEYS, "left_semi").select(*KEYS, "period"))
+    return fine.groupBy("relation", "period").agg(F.count(F.lit(1)).alias("n"))

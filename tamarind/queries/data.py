@@ -111,7 +111,7 @@ def p7_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_reopened(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.reopened(orphans.track(*_orphan_inputs(spark, d), keep_live=True))
+    return orphans.reopened(orphans.track(*_orphan_inputs(spark, d)))
 
 
 def _p7_sql() -> str:

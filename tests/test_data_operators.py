@@ -188,7 +188,12 @@ def test_orphans_are_the_same_in_any_slicing(spark):
     parents = [(f"K{i}", t(r.randrange(100)), t(r.randrange(100)) if r.random() < 0.3 else None) for i in range(30)]
     kids = [(i, r.choice(["K1", " k1 ", *[f"K{r.randrange(40)}" for _ in range(5)], "", None]), date(2026, 1 + r.randrange(3), 1), t(r.randrange(100))) for i in range(400)]
     kids += kids[:20]
-    index = {k.lower(): (a, d) for k, a, d in parents}
+    # Later rows of the same parents: some bring a deletion that took place before earlier children loaded.
+    parents += [(f" k{r.randrange(30)}", t(r.randrange(100)), t(r.randrange(100)) if r.random() < 0.5 else None) for _ in range(25)]
+    index = {}
+    for k, a, d in parents:
+        x, y = index.get(k.strip().lower(), (a, d))
+        index[k.strip().lower()] = (min(x, a), min((z for z in (y, d) if z), default=None))
     want = set()
     for i, k, d, at in kids:
         if k and k.strip():
@@ -198,7 +203,7 @@ def test_orphans_are_the_same_in_any_slicing(spark):
                 want.add((str(i), d.strftime("%Y-%m"), why))
     refs = orphans.references(spark.createDataFrame(kids, "id long, key string, d date, loaded timestamp"), "t", "id", "key", "d", "loaded")
     pars = orphans.parents(spark.createDataFrame(parents, "key string, loaded timestamp, gone timestamp"), "t", "key", "loaded", "gone")
-    for slices in (1, 4):
+    for slices in (1, 3, 7):
         got = {tuple(x) for x in orphans.orphans(orphans.track(refs, pars, slices)).select("child_id", "period", "why").collect()}
         assert got == want
     empty = orphans.track(refs.limit(0), pars.limit(0))
@@ -212,7 +217,7 @@ def test_orphans_without_load_times(spark):
     refs = orphans.references(spark.createDataFrame(kids, "id long, key string, d date, loaded timestamp"), "t", "id", "key", "d", "loaded")
     par = orphans.parents(spark.createDataFrame(pars, "key string, loaded timestamp, gone timestamp"), "t", "key", "loaded", "gone")
     for slices in (1, 3):
-        state = orphans.track(refs, par, slices, True)
+        state = orphans.track(refs, par, slices)
         assert sorted((r["child_id"], r["why"]) for r in orphans.orphans(state).collect()) == [("3", "missing"), ("6", "deleted"), ("7", "late")]
         assert [r["n"] for r in orphans.reopened(state).collect()] == [1]
 
@@ -229,9 +234,26 @@ def test_orphans_in_a_stream(spark, tmp_path):
             import time
 
             time.sleep(1.1)
-    s = OrphanStream()
-    s.start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
-    assert {(r["child_id"], r["why"]) for r in orphans.orphans(s.state).collect()} == {("1", "late"), ("2", "missing")}
+    run = lambda: OrphanStream(spark, str(tmp_path / "state")).start(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
+    now = lambda: {(r["child_id"], r["why"]) for r in orphans.orphans(OrphanStream(spark, str(tmp_path / "state")).state()).collect()}
+    run()
+    assert now() == {("1", "late"), ("2", "missing")}
+    # A restart with a new object goes on: a deletion reopens an old reference, a new one finds its parent.
+    third = [("parent", "t", None, "a", None, None, t(9), t(0)), ("ref", "t", "3", "b", "2026-01", t(7), None, None)]
+    spark.createDataFrame(third, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert now() == {("1", "deleted"), ("2", "missing"), ("3", "missing")}
+    # A batch that is retried, or one that stopped half-way, counts once.
+    s = OrphanStream(spark, str(tmp_path / "state"))
+    s.step(spark.createDataFrame(third, schema), s.epochs()[-1])
+    before = {r["n"] for r in orphans.snapshot(s.state()).where("why = 'missing'").collect()}
+    (tmp_path / "state" / "epoch-000000000003-index").mkdir()
+    (tmp_path / "state" / "manifest-000000000003.json.half").write_text("{")
+    s.COMPACT = 1
+    fourth = [("parent", "t", None, "b", None, None, t(8), None)]
+    s.step(spark.createDataFrame(fourth, schema), s.epochs()[-1] + 1)
+    s.step(spark.createDataFrame([("ref", "t", "4", "b", "2026-02", t(9), None, None)], schema), s.epochs()[-1] + 1)
+    assert before == {2} and now() == {("1", "deleted"), ("2", "late"), ("3", "late")} and len(s.epochs()) == 2
 
 
 def test_skewed_join_keeps_all_rows(spark):

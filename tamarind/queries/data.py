@@ -127,5 +127,38 @@ _WHY_SQL = "CASE WHEN k IS NULL THEN 'missing' WHEN deleted_at <= child_loaded T
 P7_FOUND_SQL = _p7_sql() + f" SELECT DISTINCT relation AS child_table, child_id, period, {_WHY_SQL} AS why FROM j WHERE {_WHY_SQL} IS NOT NULL"
 P7_REOPENED_SQL = _p7_sql() + f" SELECT relation, period, count(*) AS n FROM j WHERE k IS NOT NULL AND coalesce({_WHY_SQL}, 'late') = 'late' AND deleted_at IS NOT NULL GROUP BY ALL"
 
+_ROUTING_SQL = """WITH r AS (SELECT record_id, CAST(record AS JSON) AS j FROM query_record WHERE json_valid(record)),
+d AS (SELECT record_id, j->'$.domain_routing' AS x FROM r WHERE json_type(j) = 'OBJECT'),
+e AS (SELECT record_id, CASE WHEN json_type(x) <> 'VARCHAR' THEN x WHEN json_valid(x->>'$') THEN CAST(x->>'$' AS JSON) END AS x FROM d),
+l AS (SELECT record_id, 'ranked_domains' AS list_name, x->'$.ranked_domains' AS v FROM e UNION ALL SELECT record_id, 'arbitration_scores', x->'$.arbitration_scores' FROM e),
+a AS (SELECT record_id, list_name, CASE WHEN json_type(v) = 'ARRAY' THEN v->'$[*]' WHEN json_type(v) <> 'NULL' THEN [v] END AS v FROM l),
+o AS (SELECT record_id, list_name, unnest(v) AS o, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos FROM a),
+k AS (SELECT record_id, pos, o->'$.matched_keywords' AS v FROM o WHERE list_name = 'ranked_domains' AND json_type(o) = 'OBJECT'),
+m AS (SELECT record_id, pos, CASE WHEN json_type(v) = 'ARRAY' THEN v->'$[*]' WHEN json_type(v) <> 'NULL' THEN [v] END AS v FROM k),
+w AS (SELECT record_id, pos, unnest(v) AS w, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS sub_pos FROM m),
+f AS (SELECT record_id, list_name, pos, -1 AS sub_pos, coalesce(o->>'$.domain_id', '') AS val FROM o WHERE json_type(o) = 'OBJECT'
+      UNION ALL SELECT record_id, 'matched_keywords', pos, sub_pos, w->>'$' FROM w WHERE json_type(w) NOT IN ('NULL', 'OBJECT', 'ARRAY'))
+"""
+P6_FOUND_SQL = _ROUTING_SQL + "SELECT DISTINCT record_id, list_name, pos, sub_pos, val FROM f"
+P6_KEYWORDS_SQL = _ROUTING_SQL + """SELECT o.o->>'$.domain_id' AS domain_id, f.val AS keyword, count(*) AS n FROM (SELECT DISTINCT record_id, pos, sub_pos, val FROM f WHERE list_name = 'matched_keywords') f
+JOIN (SELECT DISTINCT record_id, pos, o FROM o WHERE list_name = 'ranked_domains') o ON o.record_id = f.record_id AND o.pos = f.pos GROUP BY ALL"""
+
+
+def _snapshots_sql(slices: int = 3) -> str:
+    """The cases among the rows loaded before each mark, counted: what the state must hold after each slice."""
+    refs, pars = [], []
+    for child, child_id, key, at, parent, parent_key in RELATIONS:
+        refs.append(f"SELECT '{child}' AS relation, CAST({child_id} AS VARCHAR) AS child_id, lower(trim({key})) AS k, strftime({at}, '%Y-%m') AS period, min(loaded_at) AS child_loaded FROM {child} WHERE trim({key}) <> '' GROUP BY ALL")
+        pars.append(f"SELECT '{child}' AS relation, lower(trim({parent_key})) AS k, loaded_at AS loaded, deleted_at FROM {parent} WHERE trim({parent_key}) <> ''")
+    return f"""WITH r AS ({' UNION ALL '.join(refs)}), p AS ({' UNION ALL '.join(pars)}), b AS (SELECT min(x) AS low, max(x) AS high FROM (SELECT child_loaded AS x FROM r UNION ALL SELECT loaded FROM p)),
+m AS (SELECT CAST(i AS INTEGER) AS slice, CASE WHEN i < {slices - 1} THEN make_timestamp(epoch_us(low) + (epoch_us(high) - epoch_us(low)) * (i + 1) // {slices}) END AS mark FROM b, range({slices}) t(i)),
+i AS (SELECT slice, relation, k, min(loaded) AS loaded, min(deleted_at) AS deleted_at FROM p, m WHERE mark IS NULL OR CAST(loaded AS TIMESTAMP) < mark GROUP BY ALL),
+j AS (SELECT m.slice, r.*, i.k AS found, i.loaded, i.deleted_at FROM r JOIN m ON mark IS NULL OR CAST(child_loaded AS TIMESTAMP) < mark LEFT JOIN i ON i.slice = m.slice AND i.relation = r.relation AND i.k = r.k),
+w AS (SELECT DISTINCT slice, relation, child_id, period, CASE WHEN found IS NULL THEN 'missing' WHEN deleted_at <= child_loaded THEN 'deleted' WHEN loaded > child_loaded THEN 'late' END AS why FROM j)
+SELECT relation, period, why, count(*) AS n, slice FROM w WHERE why IS NOT NULL GROUP BY ALL"""
+
+
+P7_SNAPSHOTS_SQL = _snapshots_sql()
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_leave_days, p4_found, p4_unified, p4_uncast, p4_change_counts, p6_found, p6_keywords, p7_found, p7_snapshots, p7_reopened)}
-ORACLE = {"p1_found": P1_FOUND_SQL, "p1_leave_days": P1_DAYS_SQL, "p7_found": P7_FOUND_SQL, "p7_reopened": P7_REOPENED_SQL}
+ORACLE = {"p1_found": P1_FOUND_SQL, "p1_leave_days": P1_DAYS_SQL, "p7_found": P7_FOUND_SQL, "p7_reopened": P7_REOPENED_SQL, "p7_snapshots": P7_SNAPSHOTS_SQL, "p6_found": P6_FOUND_SQL, "p6_keywords": P6_KEYWORDS_SQL}

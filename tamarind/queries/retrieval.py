@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tamarind.functions import dates, entities
 from tamarind.functions import text as T
 from tamarind.operators import corpus, evaluate, route, search
+from tamarind.queries import cases
 from tamarind.sources.tables import read_table as table
 
 QUERIES = {}
@@ -271,6 +272,26 @@ def entity_maps(spark, d):
     return table(spark, d, "gold_test_set").select("id", F.to_json(entities.entities(F.col("question"), F.col("gold.domain"), AS_OF)).alias("entities"))
 
 
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+@query(f"SELECT * FROM (VALUES {_values([(q, k, v) for q, _, e in cases.ENTITIES for k, v in e.items()])}) t(question, entity, value)")
+def entity_cases(spark, d):
+    """Questions whose entities are known: each known entity with the value that is read."""
+    rows = [(q, domain, k) for q, domain, e in cases.ENTITIES for k in e]
+    df = spark.createDataFrame(rows, "question string, domain string, entity string")
+    return df.withColumn("e", entities.entities(F.col("question"), F.col("domain"), AS_OF)).select("question", "entity", F.try_element_at("e", F.col("entity")).alias("value"))
+
+
+@query(f"SELECT * FROM (VALUES {_values(cases.TIMES)}) t(expression, first_day, last_day)")
+def time_cases(spark, d):
+    """Time expressions whose days are known."""
+    r = dates.time_range(F.col("expression"), AS_OF)
+    df = spark.createDataFrame([(x,) for x, _, _ in cases.TIMES], "expression string").withColumn("r", r)
+    return df.select("expression", F.date_format("r.start", "yyyy-MM-dd").alias("first_day"), F.date_format("r.end", "yyyy-MM-dd").alias("last_day"))
+
+
 @query()
 def time_ranges(spark, d):
     r = dates.time_range(F.col("question"), AS_OF)
@@ -294,12 +315,16 @@ def route_domain(spark, d):
     return routed(spark, d).select("id", F.get("ranking", F.lit(0)).alias("r")).select("id", F.col("r.name").alias("domain"), F.round("r.score", 4).alias("score"))
 
 
-@query()
+_RANKED_SQL = ORACLE["route_domain"].split("SELECT id, name AS domain, round(score, 4)")[0] + ", a AS (SELECT id, max(CASE WHEN rank = 1 THEN name END) AS first, max(CASE WHEN rank = 1 THEN score END) AS x, max(CASE WHEN rank = 2 THEN name END) AS second, max(CASE WHEN rank = 2 THEN score END) AS y FROM k GROUP BY id)"
+
+
+@query(_RANKED_SQL + f" SELECT id, CASE WHEN x - y < {route.SHORTLIST_GAP} OR coalesce(y / nullif(x, 0), 0) >= {route.SHORTLIST_RATIO} THEN [first, second] ELSE [first] END AS domains FROM a")
 def route_shortlist(spark, d):
     return routed(spark, d).select("id", route.shortlist(F.col("ranking")).alias("domains"))
 
 
-@query()
+@query(_RANKED_SQL + """, c AS (SELECT gold.domain IS NULL OR gold.domain = first AS p, len(list_filter(coalesce(gold.tables, []), lambda t: t IS DISTINCT FROM 'attendance')) = 0 AS t FROM gold_test_set JOIN a USING (id))
+SELECT count(*) AS cases, round(avg(CAST(p AS INTEGER)), 4) AS domain, round(avg(CAST(t AS INTEGER)), 4) AS tables, round(avg(CAST(p AND t AS INTEGER)), 4) AS "all" FROM c""")
 def eval_scorecard(spark, d):
     r = routed(spark, d).withColumn("predicted", F.get("ranking", F.lit(0))["name"])
     return evaluate.scorecard(r, {"domain": evaluate.exact(F.col("gold.domain"), F.col("predicted")), "tables": evaluate.covers(F.col("gold.tables"), F.array(F.lit("attendance")))})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarind.llm import canonical, leakage, overlap, packing, personal, quantiles
+from tamarind.llm import codepoints as C
 from tamarind.plans.skew import once
 
 PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -125,5 +126,36 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
     return personal.masked(table(spark, d, "documents"), "doc_id", "text", _personal(spark, d))
 
 
+_FULL = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_ASCII = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
+_SPACES = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+_LIKE, _LATIN = "".join(C.LOOK_ALIKES), "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ0-9"
+_STRONG = "".join(c for c in C.LOOK_ALIKES if c not in C.WEAK)
+_FOREIGN = "".join(c for c in map(chr, range(0x370, 0x530)) if c.isalpha() and c not in C.LOOK_ALIKES)
+
+
+def words_sql(x: str) -> str:
+    """The folded words of a text, for texts in which words of other alphabets decide nothing."""
+    plain = f"translate(translate(regexp_replace({x}, '{_INVISIBLE}', '', 'g'), '{_FULL}', '{_ASCII}'), '{_LIKE}', '{''.join(C.LOOK_ALIKES.values())}')"
+    return f"regexp_extract_all(translate(lower(strip_accents({plain})), 'đ', 'd'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_PAIRS_SQL = f"""WITH g AS (SELECT DISTINCT id AS gold_id, {words_sql('question')} AS t FROM gold_test_set), x AS (SELECT DISTINCT example_id, {words_sql('example_text')} AS t FROM examples),
+gn AS (SELECT gold_id, t, len(t) AS n, list_sort(list_distinct(list_filter(t, lambda w: regexp_matches(w, '[0-9]')))) AS d FROM g), xn AS (SELECT example_id, t, len(t) AS n, list_sort(list_distinct(list_filter(t, lambda w: regexp_matches(w, '[0-9]')))) AS d FROM x),
+gw AS (SELECT gold_id, w, count(*) AS c FROM (SELECT gold_id, unnest(t) AS w FROM gn) GROUP BY ALL), xw AS (SELECT example_id, w, count(*) AS c FROM (SELECT example_id, unnest(t) AS w FROM xn) GROUP BY ALL),
+s AS (SELECT gold_id, example_id, sum(least(gw.c, xw.c)) AS s FROM gw JOIN xw USING (w) GROUP BY ALL),
+p AS (SELECT gold_id, example_id FROM s JOIN gn USING (gold_id) JOIN xn USING (example_id) WHERE gn.d = xn.d AND s >= 0.7 * greatest(gn.n, xn.n) - 1e-9)"""
+P2_FOUND_SQL = _PAIRS_SQL + " SELECT gold_id, example_id FROM p"
+P2_REPORT_SQL = _PAIRS_SQL + """ SELECT gold_split, example_source, count(*) AS n_pairs, count(DISTINCT gold_id) AS n_gold, count(DISTINCT example_id) AS n_examples FROM p
+JOIN (SELECT DISTINCT id AS gold_id, split AS gold_split FROM gold_test_set) USING (gold_id) JOIN (SELECT DISTINCT example_id, source AS example_source FROM examples) USING (example_id) GROUP BY ALL"""
+P5_FOUND_SQL = f"""WITH t AS (SELECT 'gold_test_set' AS table_name, id AS row_id, question AS text FROM gold_test_set UNION ALL SELECT 'examples', CAST(example_id AS VARCHAR), example_text FROM examples)
+SELECT DISTINCT table_name, row_id FROM t WHERE nfc_normalize(text) <> text OR regexp_matches(text, '[\\x{{FF01}}-\\x{{FF5E}}]|{_SPACES}|[ÐðƉɖ]')
+OR regexp_matches(regexp_replace(text, '[\\x{{2190}}-\\x{{2BFF}}\\x{{1F000}}-\\x{{1FAFF}}]\\x{{FE0F}}?\\x{{200D}}', '', 'g'), '{_INVISIBLE}|\\x{{200D}}')
+OR list_bool_or(list_transform(regexp_extract_all(nfc_normalize(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: regexp_matches(w, '[{_LIKE}]') AND regexp_matches(w, '^[{_LATIN}{_LIKE}]+$') AND (regexp_matches(w, '[{_LATIN.replace('À-ÖØ-öø-ɏ', 'À-ÏÑ-ÖØ-ïñ-öø-ƈƊ-ɏ')}]') OR regexp_matches(w, '[{_STRONG}]') AND NOT regexp_matches(nfc_normalize(text), '[{_FOREIGN}]'))))"""
+P9_FOUND_SQL = f"""WITH d AS (SELECT doc_id, {words_sql('text')} AS t FROM documents), i AS (SELECT item_id, {words_sql('text')} AS t FROM eval_item),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(t) - 10), lambda k: array_to_string(t[k:k + 11], ' '))) AS g FROM d), ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(t) - 10), lambda k: array_to_string(t[k:k + 11], ' '))) AS g FROM i)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
 QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_coverage, p3_percentiles, p3_percentiles_from_days, p3_rank_check, p3_counts, p5_found, p5_canonical, p8_packed, p8_fill, p9_found, p9_leaks, p10_found, p10_masked)}
-ORACLE = {"p3_rank_check": P3_RANK_SQL, "p3_counts": P3_COUNTS_SQL}
+ORACLE = {"p2_found": P2_FOUND_SQL, "p2_report": P2_REPORT_SQL, "p3_rank_check": P3_RANK_SQL, "p3_counts": P3_COUNTS_SQL, "p5_found": P5_FOUND_SQL, "p9_found": P9_FOUND_SQL}

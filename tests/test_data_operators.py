@@ -276,3 +276,31 @@ def test_deep_brackets_give_nothing(spark):
     df = spark.createDataFrame([(1, deep), (2, "[" * 200_000), (3, json.dumps({"domain_routing": {"a": 1}}))], "id long, r string")
     got = shred.nodes(df, "id", "r", ["domain_routing"], packed={"domain_routing"}).where("label IS NOT NULL").collect()
     assert [(r["rec"], r["label"]) for r in got] == [("3", "domain_routing"), ("3", "a")]
+
+
+#: Five renames of one type in one file: only scores can tell which is which.
+BEFORE = {"error_msg": "e", "user_name": "u", "sql_text": "s", "log_path": "l", "timing": {"start_at": "x", "n": 1}}
+AFTER = {"errorMessage": "e", "userName": "u", "sqlTextRaw": "s", "logFilePath": "l", "timing": {"startedAt": "x", "n": 1}}
+SAME = {"error_msg": "errorMessage", "user_name": "userName", "sql_text": "sqlTextRaw", "log_path": "logFilePath", "timing.start_at": "timing.startedAt"}
+
+
+def test_flooding_chooses_among_renames_of_one_type(monkeypatch):
+    import numpy as np
+
+    types = lambda o: {k: drift.json_type(v) for k, v in [*o.items(), *((f"timing.{k}", v) for k, v in o["timing"].items())]}
+    chosen = lambda: {p: q for p, q, *_ in drift.correspondences(types(BEFORE), types(AFTER))}
+    assert chosen() == SAME
+    real, rng = drift.flood, np.random.default_rng(1)
+    monkeypatch.setattr(drift, "flood", lambda old, new: (*real(old, new)[:2], rng.random((len(old), len(new)))))
+    assert sum(chosen() == SAME for _ in range(20)) <= 3
+
+
+def test_unified_table_joins_renames_of_one_type(spark):
+    files = {(f"r{i}", f"f{k}"): [json.dumps(o)] for i in range(3) for k, o in enumerate((BEFORE, AFTER, BEFORE))}
+    rows = drift.unify(batch(spark, files), "runner", "file", "n", "raw").collect()
+    columns = [c for c in rows[0].__fields__ if c not in ("source", "file", "line")]
+    assert len(columns) == 6 and len(rows) == 9
+    by = {c.replace("__", "."): {r[c] for r in rows} for c in columns}
+    for old, new in SAME.items():
+        whole = by.get(old) or by[new]
+        assert whole == {"x" if "start" in old else old[0]}, (old, whole)

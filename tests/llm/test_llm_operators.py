@@ -105,6 +105,16 @@ def test_overlaps_equal_brute_force(spark, monkeypatch, shard):
     assert len(got) == len(set(got)) and set(got) == brute_overlaps(evals, train)
 
 
+def test_coverage_is_merged_from_passages(spark):
+    evals = spark.createDataFrame([("a", "một hai ba bốn năm sáu bảy"), ("b", "x y")], "id string, t string")
+    train = spark.createDataFrame([(1, "một hai ba KHÁC bốn năm sáu bảy"), (2, "bảy sáu năm bốn ba hai một"), (3, "X, y"), (4, "một hai ba bốn năm"), (5, "ba bốn năm sáu bảy")], "id long, t string")
+    pairs = overlap.overlaps(evals, "id", "t", train, "id", "t")
+    got = {(r["eval_id"], r["train_id"]): (r["shared"], [(i["first"], i["last"]) for i in r["intervals"]]) for r in pairs.collect()}
+    assert got == {("a", 1): (7, [(0, 6)]), ("a", 2): (7, []), ("b", 3): (2, [(0, 1)]), ("a", 4): (5, [(0, 4)]), ("a", 5): (5, [(2, 6)])}
+    assert {tuple(r) for r in overlap.coverage(pairs).collect()} == {("a", 4, 1.0, 7), ("b", 1, 1.0, 2)}
+    assert overlap.coverage(pairs.where("train_id = 2")).first()["covered_words"] == 0
+
+
 def test_overlap_of_empty_tables(spark):
     e = spark.createDataFrame([], "id string, t string")
     assert overlap.overlaps(e, "id", "t", spark.createDataFrame([(1, "a")], "id long, t string"), "id", "t").count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarind.functions import entities
 from tamarind.functions import text as T
-from tamarind.operators import generate
+from tamarind.operators import generate, kb
 from tamarind.plans import execute, quality, spec
 from tamarind.plans.shared import shared_dir
 from tamarind.queries.retrieval import AS_OF
@@ -103,6 +103,41 @@ def kb_examples(spark, d):
     return e.join(table(spark, d, "documents").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_examples"), F.max(F.concat(F.lit("passage: "), "example_text")).alias("last_formatted"))
 
 
+_SHEET_SQL = """WITH g AS (SELECT id AS document, question AS description, '"' || question || '"' AS examples, array_to_string(tags, ',') AS keyword FROM gold_test_set),
+w AS (SELECT CASE WHEN document = (SELECT min(document) FROM g) THEN document || ' anew' ELSE document END AS document, CASE WHEN document = (SELECT min(document) FROM g) THEN '' ELSE description END AS description,
+CASE WHEN document = (SELECT min(document) FROM g) THEN '"ví dụ mới" "ví dụ khác"' ELSE examples END AS examples, CASE WHEN document = (SELECT min(document) FROM g) THEN '' ELSE keyword END AS keyword FROM g WHERE document <> (SELECT max(document) FROM g)),
+t AS (SELECT document, 'passage: ' || array_to_string(list_filter([trim(document), trim(coalesce(description, '')), trim(coalesce(keyword, ''))], lambda x: x <> ''), ' | ') AS search_text,
+coalesce(len(list_filter(regexp_extract_all(examples, '"([^"]+)"', 1), lambda x: length(trim(x)) > 5)), 0) AS n_examples FROM w)"""
+
+
+def _written(spark, d):
+    """A knowledge base of the gold questions: two uploads, one document anew, one deleted."""
+    sheet = table(spark, d, "gold_test_set").select(F.col("id").alias("document"), F.col("question").alias("description"), F.concat(F.lit('"'), "question", F.lit('"')).alias("examples"), F.array_join("tags", ",").alias("keyword"))
+    k = kb.KnowledgeBase(spark, f"{shared_dir(spark)}/kb-{uuid.uuid4().hex}")
+    k.create()
+    early = F.right("document", F.lit(1)) < "5"
+    k.insert(sheet.where(early))
+    k.insert(sheet.where(~early))
+    first, last = sheet.agg(F.min("document"), F.max("document")).first()
+    ids = {r["document"]: r["doc_id"] for r in k.table("documents").where(F.col("document").isin(first, last)).collect()}
+    k.update(ids[first], spark.createDataFrame([(f"{first} anew", '"ví dụ mới" "ví dụ khác"')], "document string, examples string"))
+    k.delete(ids[last])
+    return k
+
+
+@query(_SHEET_SQL + " SELECT document, search_text, CAST(n_examples AS BIGINT) AS n_examples FROM t")
+def kb_written(spark, d):
+    """What a knowledge base holds after uploads, a change and a deletion."""
+    k = _written(spark, d)
+    n = k.table("examples").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return k.table("documents").join(n, "doc_id", "left").select("document", "search_text", F.coalesce("n", F.lit(0)).alias("n_examples"))
+
+
+@query(_SHEET_SQL + " SELECT count(*) AS documents, CAST(sum(n_examples) AS BIGINT) AS examples, round(sum(n_examples) / count(*), 2) AS examples_per_document FROM t")
+def kb_written_stats(spark, d):
+    return _written(spark, d).stats()
+
+
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM examples) AS examples, round((SELECT count(*) FROM examples) / (SELECT count(*) FROM documents), 2) AS examples_per_document")
 def kb_stats(spark, d):
     docs = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("documents"))

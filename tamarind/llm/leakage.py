@@ -32,8 +32,8 @@ _SPAN_BLOCKS = SPAN // BLOCK
 ITEM_STRIDE = 2
 #: Rank of the latent space, and extra columns of the random test matrix.
 RANK, EXTRA = 40, 24
-#: Least cosine of a candidate in the latent space.
-NEAR = 0.6
+#: Least cosine of a candidate in the latent space, and of one that may be a paraphrase.
+NEAR, PARAPHRASE = 0.6, 0.75
 #: A paraphrase shares a subsequence of so many of a passage's RUN words, so a passage must have as many words of items.
 LEAST_WORDS = math.ceil(0.75 * RUN)
 #: Distinct words of evaluation text in one latent space: bounds the matrices of the driver and of every task.
@@ -382,6 +382,8 @@ def _retrieve(vocabulary, space, shards: list, paraphrases: bool):
                         near = np.array([score[f:z, x].max() for f, z, x in zip(heads[item].tolist(), heads[item + 1].tolist(), where.tolist())])
                         yield _hits(docs[seg[where + a]], items.ids[item], "verbatim", near, np.full(len(exact), RUN))
                     if paraphrases:
+                        close = score[q, p] >= PARAPHRASE
+                        p, q = p[close], q[close]
                         for z in range(0, len(p), 50_000):
                             pz, qz = p[z : z + 50_000], q[z : z + 50_000]
                             good, lcs = _paraphrased(items, words, first[pz + a] * BLOCK, qz, digit)
@@ -395,7 +397,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, evals: DataFrame, item_id: st
     """(doc_id, item_id, kind, cosine, lcs): one row for each document and item that leaked into it.
 
     Candidates are passages whose cosine with an item's passage is at least NEAR in the latent space. kind is 'verbatim' if
-    the document has RUN words of the item in a row, else 'paraphrase' if a passage shares a subsequence of LEAST_WORDS of an
+    the document has RUN words of the item in a row, else 'paraphrase' if a passage as near as PARAPHRASE shares a subsequence of LEAST_WORDS of an
     item passage's RUN words and has its answers: all words with digits. cosine and lcs are those of the best passage. Words
     are compared without case, accents and disguises, as 64-bit hashes of the words. Null or wordless texts, and items
     shorter than RUN words, match nothing; null ids are left out.
